@@ -32,8 +32,8 @@ def build(sql: str) -> str:
         return sql
     parts = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
     if sql.lstrip().upper().startswith("WITH "):
-        return f"WITH {parts},\n{sql.lstrip()[5:]}"
-    return f"WITH {parts}\n{sql}"
+        return f"WITH RECURSIVE {parts},\n{sql.lstrip()[5:]}"
+    return f"WITH RECURSIVE {parts}\n{sql}"
 
 
 def query(name: str, sql: str | None = None):
