@@ -41,6 +41,11 @@ def r(c, places: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)
 
 
+def known(c, name: str) -> Column:
+    """Whole number for exchange: -1 where it is not available."""
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("long"), F.lit(-1)).alias(name)
+
+
 # ---- calendar keys -------------------------------------------------------------------
 
 

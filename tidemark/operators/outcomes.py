@@ -23,6 +23,10 @@ def grid_frame(df: DataFrame, horizons, tps=TP_SL, sls=TP_SL) -> DataFrame:
     return df.withColumn("_g", F.explode(F.array(*cells))).select(*df.columns, "_g.*")
 
 
+def _name(direction: str, tp: float, sl: float) -> str:
+    return f"hit_{direction}_{round(tp * 1e6)}_{round(sl * 1e6)}"
+
+
 def _hit(direction: str, tp: float, sl: float) -> Column:
     """Code of the barrier a bar reaches, null if none. The open comes before the extremes."""
     p, o, h, l = F.col("P"), F.col("open"), F.col("high"), F.col("low")
@@ -55,7 +59,7 @@ def measure(events: DataFrame, candles: DataFrame, horizons, tps=TP_SL, sls=TP_S
     for d in DIRECTIONS:
         for t in tps:
             for s in sls:
-                aggs.append(F.min(k * 10 + _hit(d, t, s)).alias(f"hit_{d}_{t}_{s}"))
+                aggs.append(F.min(k * 10 + _hit(d, t, s)).alias(_name(d, t, s)))
     for h in horizons:
         inside = k <= h
         aggs += [
@@ -75,7 +79,7 @@ def measure(events: DataFrame, candles: DataFrame, horizons, tps=TP_SL, sls=TP_S
     hit = pick(
         (
             (F.col("direction") == dd) & (F.col("tp") == t) & (F.col("sl") == s),
-            F.col(f"`hit_{dd}_{t}_{s}`"),
+            F.col(_name(dd, t, s)),
         )
         for dd in DIRECTIONS
         for t in tps

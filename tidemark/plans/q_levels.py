@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.config import DAY, DIRECTIONS, HORIZONS, HOUR, STEPS, TP_SL, WIDTHS
-from tidemark.functions.columns import content_id, count_if, long, r
+from tidemark.functions.columns import content_id, count_if, known, long, r
 from tidemark.operators import detectors as D
 from tidemark.operators import outcomes as O
 from tidemark.operators import profiles as P
@@ -180,10 +180,10 @@ for _n in (2, 4, 8):
     cte(f"swing_e{_n}", swing_sql(f"ext_e{_n}", _n))
 
 
-@query("swing_sources", build("SELECT side, idx, src AS source_idx, round(src_price, 6) AS source_price, src_known AS known_at FROM swing_l4"))
+@query("swing_sources", build("SELECT side, idx, coalesce(src, -1) AS source_idx, round(src_price, 6) AS source_price, coalesce(src_known, -1) AS known_at FROM swing_l4"))
 def swing_sources(spark, sf):
     s = D.swing_sources(bars_l(spark, sf), 4)
-    return s.select("side", "idx", F.col("swing.idx").alias("source_idx"), r("swing.price").alias("source_price"), F.col("swing.known_at").alias("known_at"))
+    return s.select("side", "idx", known("swing.idx", "source_idx"), r("swing.price").alias("source_price"), known("swing.known_at", "known_at"))
 
 
 @query(
@@ -237,10 +237,10 @@ def visits_e(spark, sf, fraction=None, separation=0.0):
     return V.track_visits(z, b, separation, size=0.004)
 
 
-FACTS_SQL = f"""zone, visit_number, start, observed_at, end_time AS "end", {APPROACH} AS approach, spent AS candles_spent, wick AS wick_touched, inside AS close_entered,
+FACTS_SQL = f"""zone, visit_number, start, observed_at, coalesce(end_time, -1) AS "end", {APPROACH} AS approach, spent AS candles_spent, wick AS wick_touched, inside AS close_entered,
   CASE WHEN {APPROACH} <> 'INSIDE' THEN round(greatest(0, CASE WHEN {APPROACH} = 'ABOVE' THEN pen_a ELSE pen_b END), 6) END AS max_penetration_price,
   CASE WHEN {APPROACH} <> 'INSIDE' THEN round(greatest(0, CASE WHEN {APPROACH} = 'ABOVE' THEN pen_a ELSE pen_b END) / (upper - lower), 6) END AS max_penetration_zone_fraction,
-  CASE WHEN {APPROACH} = 'ABOVE' THEN lo_close < lower WHEN {APPROACH} = 'BELOW' THEN hi_close > upper END AS crossed_through,
+  CASE WHEN {APPROACH} = 'INSIDE' THEN 'unknown' WHEN CASE WHEN {APPROACH} = 'ABOVE' THEN lo_close < lower ELSE hi_close > upper END THEN 'true' ELSE 'false' END AS crossed_through,
   CASE WHEN ended THEN CASE WHEN last_close > upper THEN 'ABOVE' ELSE 'BELOW' END END AS exit_direction,
   CASE WHEN ended THEN 'EXITED' WHEN spent > 1 THEN 'INTERACTING' ELSE 'ENTERED' END AS state,
   CASE WHEN visit_number < 4 THEN CAST(visit_number AS VARCHAR) ELSE '4+' END AS visit_group"""
@@ -248,9 +248,9 @@ FACTS_SQL = f"""zone, visit_number, start, observed_at, end_time AS "end", {APPR
 
 def facts_out(v):
     return v.select(
-        F.col("zone_id").alias("zone"), "visit_number", "start", "observed_at", "end", "approach", "candles_spent", "wick_touched", "close_entered",
+        F.col("zone_id").alias("zone"), "visit_number", "start", "observed_at", known("end", "end"), "approach", "candles_spent", "wick_touched", "close_entered",
         r("max_penetration_price").alias("max_penetration_price"), r("max_penetration_zone_fraction").alias("max_penetration_zone_fraction"),
-        "crossed_through", "exit_direction", "state", "visit_group",
+        F.coalesce(F.col("crossed_through").cast("string"), F.lit("unknown")).alias("crossed_through"), "exit_direction", "state", "visit_group",
     )
 
 
@@ -289,9 +289,10 @@ def visit_transitions(spark, sf):
     return visits_e(spark, sf).select(F.col("zone_id").alias("zone"), "visit_number", text.alias("transitions"))
 
 
-@query("interaction_lifecycle", build("""SELECT sha256(zone || '|' || visit_number) AS interaction_id, end_time AS "end", spent AS candles_spent, end_time AS available_at, end_time IS NULL AS censored FROM vis_e"""))
+@query("interaction_lifecycle", build("""SELECT sha256(zone || '|' || visit_number) AS interaction_id, coalesce(end_time, -1) AS "end", spent AS candles_spent, coalesce(end_time, -1) AS available_at, end_time IS NULL AS censored FROM vis_e"""))
 def interaction_lifecycle(spark, sf):
-    return V.lifecycles(visits_e(spark, sf))
+    d = V.lifecycles(visits_e(spark, sf))
+    return d.select("interaction_id", known("end", "end"), "candles_spent", known("available_at", "available_at"), "censored")
 
 
 # ---- outcomes ------------------------------------------------------------------------
@@ -309,12 +310,12 @@ def outcome_sql(events: str, bars: str, step: int, hs, extra: str = "true") -> s
     return f"""SELECT event_id, T, P, idx AS eidx, direction, tp, sl, horizon, CASE WHEN hit IS NOT NULL THEN hit ELSE CASE WHEN n >= horizon THEN 'NEITHER' END END AS label,
   CASE WHEN hit IS NOT NULL THEN hit_at END AS first_hit_at, greatest(0, coalesce(fav, 0)) * 100 AS mfe_pct, greatest(0, coalesce(adv, 0)) * 100 AS mae_pct,
   CASE WHEN fav > 0 THEN fav_k * {step} END AS time_to_mfe_ms, CASE WHEN adv > 0 THEN adv_k * {step} END AS time_to_mae_ms, n AS observed_candles, n < horizon AS censored, T + n * {step} AS measured_until
-FROM (SELECT event_id, T, P, idx, direction, tp, sl, horizon, count(k) AS n, arg_min(lab, k) FILTER (WHERE lab IS NOT NULL) AS hit, arg_min(at, k) FILTER (WHERE lab IS NOT NULL) AS hit_at,
+FROM (SELECT event_id, T, P, idx, direction, tp, sl, horizon, count(k) AS n, arg_min(lab, k) FILTER (WHERE lab IS NOT NULL) AS hit, arg_min(hat, k) FILTER (WHERE lab IS NOT NULL) AS hit_at,
   max(f) AS fav, max(a) AS adv, arg_max(k, ROW(f, -k)) FILTER (WHERE f IS NOT NULL) AS fav_k, arg_max(k, ROW(a, -k)) FILTER (WHERE a IS NOT NULL) AS adv_k FROM (
   SELECT e.*, b.k, CASE WHEN direction = 'LONG' THEN b.high / P - 1 ELSE 1 - b.low / P END AS f, CASE WHEN direction = 'LONG' THEN 1 - b.low / P ELSE b.high / P - 1 END AS a,
     CASE WHEN direction = 'LONG' THEN CASE WHEN b.open >= P * (1 + tp) THEN 'TP_FIRST' WHEN b.open <= P * (1 - sl) THEN 'SL_FIRST' WHEN b.high >= P * (1 + tp) AND b.low <= P * (1 - sl) THEN 'AMBIGUOUS' WHEN b.high >= P * (1 + tp) THEN 'TP_FIRST' WHEN b.low <= P * (1 - sl) THEN 'SL_FIRST' END
       ELSE CASE WHEN b.open <= P * (1 - tp) THEN 'TP_FIRST' WHEN b.open >= P * (1 + sl) THEN 'SL_FIRST' WHEN b.low <= P * (1 - tp) AND b.high >= P * (1 + sl) THEN 'AMBIGUOUS' WHEN b.low <= P * (1 - tp) THEN 'TP_FIRST' WHEN b.high >= P * (1 + sl) THEN 'SL_FIRST' END END AS lab,
-    CASE WHEN CASE WHEN direction = 'LONG' THEN b.open >= P * (1 + tp) OR b.open <= P * (1 - sl) ELSE b.open <= P * (1 - tp) OR b.open >= P * (1 + sl) END THEN T + (b.k - 1) * {step} ELSE T + b.k * {step} END AS at
+    CASE WHEN CASE WHEN direction = 'LONG' THEN b.open >= P * (1 + tp) OR b.open <= P * (1 - sl) ELSE b.open <= P * (1 - tp) OR b.open >= P * (1 + sl) END THEN T + (b.k - 1) * {step} ELSE T + b.k * {step} END AS hat
   FROM (SELECT * FROM {events}, {grid_sql(hs)}) e LEFT JOIN (SELECT s.event_id AS jid, x.idx - s.idx AS k, x.open, x.high, x.low FROM {events} s JOIN {bars} x ON x.symbol = s.symbol AND x.idx > s.idx AND x.idx <= s.idx + {max(hs)} AND {extra}) b
     ON b.jid = e.event_id AND b.k <= e.horizon) GROUP BY ALL)"""
 
@@ -345,14 +346,14 @@ GRID = "event_id, direction, tp, sl, horizon"
 G = GRID.split(", ")
 
 
-@query("measure_outcome", build(f"SELECT {GRID}, label, first_hit_at, censored, observed_candles, measured_until FROM out_e"))
+@query("measure_outcome", build(f"SELECT {GRID}, label, coalesce(first_hit_at, -1) AS first_hit_at, censored, observed_candles, measured_until FROM out_e"))
 def measure_outcome(spark, sf):
-    return outcomes_e(spark, sf).select(*G, "label", "first_hit_at", "censored", "observed_candles", "measured_until")
+    return outcomes_e(spark, sf).select(*G, "label", known("first_hit_at", "first_hit_at"), "censored", "observed_candles", "measured_until")
 
 
-@query("excursions", build(f"SELECT {GRID}, round(mfe_pct, 6) AS mfe_pct, round(mae_pct, 6) AS mae_pct, time_to_mfe_ms, time_to_mae_ms FROM out_e"))
+@query("excursions", build(f"SELECT {GRID}, round(mfe_pct, 6) AS mfe_pct, round(mae_pct, 6) AS mae_pct, coalesce(time_to_mfe_ms, -1) AS time_to_mfe_ms, coalesce(time_to_mae_ms, -1) AS time_to_mae_ms FROM out_e"))
 def excursions(spark, sf):
-    return outcomes_e(spark, sf).select(*G, r("mfe_pct").alias("mfe_pct"), r("mae_pct").alias("mae_pct"), "time_to_mfe_ms", "time_to_mae_ms")
+    return outcomes_e(spark, sf).select(*G, r("mfe_pct").alias("mfe_pct"), r("mae_pct").alias("mae_pct"), known("time_to_mfe_ms", "time_to_mfe_ms"), known("time_to_mae_ms", "time_to_mae_ms"))
 
 
 @query("outcome_grid", build("SELECT direction, tp, sl, horizon, coalesce(label, 'CENSORED') AS label, count(*) AS n FROM out_t GROUP BY ALL"))
