@@ -37,8 +37,13 @@ def null_if_nan(c: Column) -> Column:
 
 
 def r(c, places: int = 6) -> Column:
-    """Rounded double without negative zero, for exchange with other engines."""
-    return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)
+    """Half-away-from-zero rounding on the binary value, without negative zero.
+
+    ``round`` works on decimal digits and differs from other engines at exact ties.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    k = F.lit(float(10**places))
+    return F.signum(x) * (F.floor(F.abs(x) * k + F.lit(0.5)) / k) + F.lit(0.0)
 
 
 def known(c, name: str) -> Column:
