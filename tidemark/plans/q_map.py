@@ -302,12 +302,13 @@ def zone_flow_windows(spark, sf):
 
 @query(
     "zone_flow_1h",
-    build(f"""SELECT T, flow_status, {OKF.format('CASE WHEN round(support_quantity, 6) > 0 THEN round((support_buy - support_sell) / support_quantity, 5) + 0.0::DOUBLE END')} AS support_normalized_delta,
-      {OKF.format('CASE WHEN round(support_quantity + resistance_quantity, 6) > 0 THEN round(support_quantity / (support_quantity + resistance_quantity), 5) END')} AS support_volume_share FROM flow_e WHERE "window" = 1"""),
+    build(f"""SELECT T, flow_status, {OKF.format('CASE WHEN round(support_quantity, 6) > 0 THEN round((round(support_buy, 6) - round(support_sell, 6)) / round(support_quantity, 6), 5) + 0.0::DOUBLE END')} AS support_normalized_delta,
+      {OKF.format('CASE WHEN round(support_quantity + resistance_quantity, 6) > 0 THEN round(round(support_quantity, 6) / (round(support_quantity, 6) + round(resistance_quantity, 6)), 5) END')} AS support_volume_share FROM flow_e WHERE "window" = 1"""),
 )
 def zone_flow_1h(spark, sf):
     f = flow_e(spark, sf).filter(F.col("window") == 1)
-    return f.select("T", "flow_status", r("support_normalized_delta", 5).alias("support_normalized_delta"), r("support_volume_share", 5).alias("support_volume_share"))
+    q, b, s, o = (r(c) for c in ("support_quantity", "support_buy", "support_sell", "resistance_quantity"))
+    return f.select("T", "flow_status", F.when(q > 0, r((b - s) / q, 5)).alias("support_normalized_delta"), F.when(q + o > 0, r(q / (q + o), 5)).alias("support_volume_share"))
 
 
 @query("zone_flow_native", build("""SELECT T, "window" * 1.0::DOUBLE AS flow_hours, flow_status, count(u.side) FILTER (WHERE u.side = 'support') AS support_interval_count, count(u.side) FILTER (WHERE u.side = 'joint') AS joint_interval_count
