@@ -232,7 +232,7 @@ def metric_sql(src: str, keys: str, eb: str | None = None) -> str:
     for m in MOVES:
         cols += [f"round(avg({m}) FILTER (WHERE NOT censored), 4) AS {m}_mean", f"{q(m, 0.1)} AS {m}_q10", f"{q(m, 0.5)} AS {m}_median", f"{q(m, 0.9)} AS {m}_q90"]
     hit = "NOT censored AND label IN ('TP_FIRST', 'SL_FIRST')"
-    cols += [f"count(*) FILTER (WHERE {hit}) AS resolved_measurement_count", f"round(avg(CASE WHEN label = 'TP_FIRST' THEN tp ELSE -sl END) FILTER (WHERE {hit}) * 100, 6) AS gross_boundary_expectancy_conditional_pct"]
+    cols += [f"count(*) FILTER (WHERE {hit}) AS resolved_measurement_count", f"round(avg(CASE WHEN label = 'TP_FIRST' THEN tp ELSE -sl END) FILTER (WHERE {hit}) * 100, 6) + 0.0::DOUBLE AS gross_boundary_expectancy_conditional_pct"]
     return f"SELECT {keys}, {', '.join(cols)} FROM {src} GROUP BY {keys}"
 
 
