@@ -18,15 +18,15 @@ LIMIT = 1_000_000
 def prior_mass(
     sources: DataFrame, queries: DataFrame, keys, weights, band: float = 0.01, bits: int = 20
 ) -> DataFrame:
-    """``sources``: keys, t, v, weights; ``queries``: keys, qid, t, v (t: small whole numbers >= 0).
+    """``sources``: keys, slot, v, weights; ``queries``: keys, qid, slot, v (slot: small whole numbers >= 0).
 
     For each qid and weight: ``<w>_mid`` (mass below v plus half the mass at v) and
-    ``<w>_all`` over the sources with an earlier t.
+    ``<w>_all`` over the sources with an earlier slot.
     """
     keys = list(keys)
     levels = F.sequence(F.lit(0), F.lit(bits - 1))
-    bit = lambda l: F.pmod(F.call_function("shiftright", F.col("t"), l), F.lit(2))
-    node = F.call_function("shiftright", F.col("t"), F.col("_l"))
+    bit = lambda l: F.pmod(F.call_function("shiftright", F.col("slot"), l), F.lit(2))
+    node = F.call_function("shiftright", F.col("slot"), F.col("_l"))
     s = sources.withColumn("_l", F.explode(F.filter(levels, lambda l: bit(l) == 0)))
     s = s.groupBy(*keys, "_l", node.alias("_n"), "v").agg(*[F.sum(w).cast("double").alias(w) for w in weights])
     q = queries.withColumn("_l", F.explode(F.filter(levels, lambda l: bit(l) == 1)))

@@ -84,13 +84,13 @@ def score_percentile(history: DataFrame, cfg: Settings, step: int, origin: int,
     v = F.col(value)
     side = F.when(v > 0, "SUPPORT").when(v < 0, "RESISTANCE").otherwise("BALANCED")
     t = F.floor((F.col("T") - origin) / F.lit(step)).cast("long")
-    d = history.select("symbol", "T", side.alias("direction"), F.abs(v).alias("v"), t.alias("t"), v.alias("value"))
+    d = history.select("symbol", "T", side.alias("direction"), F.abs(v).alias("v"), t.alias("slot"), v.alias("value"))
     live = d.filter("direction <> 'BALANCED'")
-    s = live.select("symbol", "direction", "t", "v", F.lit(1.0).alias("n"))
-    q = live.select("symbol", "direction", F.struct("symbol", "T").alias("k"), "t", "v")
+    s = live.select("symbol", "direction", "slot", "v", F.lit(1.0).alias("n"))
+    q = live.select("symbol", "direction", F.struct("symbol", "T").alias("k"), "slot", "v")
     span = cfg.history_days * DAY // step
-    both = q.select("symbol", "direction", "v", F.struct("k", F.lit(1).alias("sign")).alias("qid"), "t").unionByName(
-        q.select("symbol", "direction", "v", F.struct("k", F.lit(-1).alias("sign")).alias("qid"), F.greatest(F.col("t") - span, F.lit(0)).alias("t"))
+    both = q.select("symbol", "direction", "v", F.struct("k", F.lit(1).alias("sign")).alias("qid"), "slot").unionByName(
+        q.select("symbol", "direction", "v", F.struct("k", F.lit(-1).alias("sign")).alias("qid"), F.greatest(F.col("slot") - span, F.lit(0)).alias("slot"))
     )
     m = prior_mass(s, both, ["symbol", "direction"], ["n"])
     m = m.groupBy(F.col("qid.k.symbol").alias("symbol"), F.col("qid.k.T").alias("T")).agg(
@@ -102,7 +102,7 @@ def score_percentile(history: DataFrame, cfg: Settings, step: int, origin: int,
     pc = F.col("percentile")
     label = F.when(pc >= c, "EXTREME").when(pc >= b, "STRONG").when(pc >= a, "ELEVATED").when(pc.isNotNull(), "NORMAL")
     status = F.when(F.col("direction") == "BALANCED", "BALANCED").when(pc.isNotNull(), "READY").otherwise("INSUFFICIENT_HISTORY")
-    return out.withColumn("label", label).withColumn("status", status).drop("v", "t", "mid")
+    return out.withColumn("label", label).withColumn("status", status).drop("v", "slot", "mid")
 
 
 def histogram(values: DataFrame, value: str, bins: int = 40) -> DataFrame:

@@ -24,12 +24,12 @@ def slope_stream(candles: DataFrame, n: int) -> DataFrame:
 def slope_percentile(stream: DataFrame, cfg: Settings, step: int, origin: int) -> DataFrame:
     """0..100 midrank of the magnitude among earlier slopes of the same side and direction in the window."""
     t = F.floor((F.col("T") - origin) / F.lit(step)).cast("long")
-    live = stream.filter("direction <> 'FLAT'").select(*SERIES, "direction", "T", t.alias("t"), F.abs("slope").alias("v"))
+    live = stream.filter("direction <> 'FLAT'").select(*SERIES, "direction", "T", t.alias("slot"), F.abs("slope").alias("v"))
     keys = [*SERIES, "direction"]
     span = cfg.slope_history_days * DAY // step
-    ask = lambda sign, at: live.select(*keys, "v", F.struct(*SERIES, "T", F.lit(sign).alias("sign")).alias("qid"), at.alias("t"))
-    q = ask(1, F.col("t")).unionByName(ask(-1, F.greatest(F.col("t") - span, F.lit(0))))
-    m = prior_mass(live.select(*keys, "t", "v", F.lit(1.0).alias("n")), q, keys, ["n"], band=0.0005)
+    ask = lambda sign, at: live.select(*keys, "v", F.struct(*SERIES, "T", F.lit(sign).alias("sign")).alias("qid"), at.alias("slot"))
+    q = ask(1, F.col("slot")).unionByName(ask(-1, F.greatest(F.col("slot") - span, F.lit(0))))
+    m = prior_mass(live.select(*keys, "slot", "v", F.lit(1.0).alias("n")), q, keys, ["n"], band=0.0005)
     sign = F.col("qid.sign")
     m = m.groupBy(*[F.col(f"qid.{k}").alias(k) for k in (*SERIES, "T")]).agg(
         F.sum(F.col("n_mid") * sign).alias("_mid"), F.round(F.sum(F.col("n_all") * sign)).cast("long").alias("sample_count")

@@ -121,7 +121,7 @@ def midrank_expanding(df: DataFrame, keys, step: int, origin: int) -> DataFrame:
     event-balanced form a time counts once however many rows it has.
     """
     keys = list(keys)
-    t = F.floor((F.col("timestamp") - origin) / F.lit(step)).cast("long").alias("t")
+    t = F.floor((F.col("timestamp") - origin) / F.lit(step)).cast("long").alias("slot")
     per_time = Window.partitionBy(*keys, "timestamp")
     s = df.withColumn("_m", F.count(F.lit(1)).over(per_time)).select(*keys, t, F.col("value").alias("v"), F.lit(1.0).alias("row"), (1 / F.col("_m")).alias("event"))
     q = df.select(*keys, "qid", t, F.col("value").alias("v"))
