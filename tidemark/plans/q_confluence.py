@@ -285,7 +285,7 @@ def what_if_rejects(spark, sf):
 N = 4
 cte("slope_e", f"SELECT side, idx, end_time AS T, close, src, src_price, src_open, ln(close / src_price) / (idx - src) AS slope FROM swing_e{N} WHERE src IS NOT NULL")
 cte("pct_e", """SELECT a.*, count(b.T) AS n, CASE WHEN a.slope <> 0 AND count(b.T) >= 30 THEN 100 * (count(*) FILTER (WHERE abs(b.slope) < abs(a.slope)) + 0.5::DOUBLE * count(*) FILTER (WHERE abs(b.slope) = abs(a.slope))) / count(b.T) END AS p, sign(a.slope) AS dir,
-  quantile_cont(abs(b.slope), 0.5) AS med, quantile_cont(abs(b.slope), 0.9) AS p90 FROM slope_e a LEFT JOIN slope_e b ON b.side = a.side AND sign(b.slope) = sign(a.slope) AND a.slope <> 0 AND b.T < a.T AND b.T >= a.T - 864000000 GROUP BY ALL""")
+  quantile_cont(abs(b.slope), 0.5) AS med, quantile_cont(abs(b.slope), 0.9) AS p90 FROM slope_e a LEFT JOIN slope_e b ON b.side = a.side AND sign(b.slope) = sign(a.slope) AND a.slope <> 0 AND b.T < a.T AND b.T >= a.T - 864000000 GROUP BY a.side, a.idx, a.T, a.close, a.src, a.src_price, a.src_open, a.slope""")
 
 
 def stream_e(spark, sf):
