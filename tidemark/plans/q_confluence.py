@@ -16,6 +16,7 @@ from tidemark.plans import q_map
 from tidemark.plans.base import T0, bars_e, bars_l
 from tidemark.plans.q_map import score_sql, union_sql, weight_sql
 from tidemark.plans.registry import build, cte, query
+from tidemark.session import materialize
 
 LB = 10 * DAY
 SINCE = T0 + LB
@@ -245,7 +246,7 @@ def score_history(spark, sf):
   SELECT T, CASE WHEN v > 0 THEN 'SUPPORT' WHEN v < 0 THEN 'RESISTANCE' ELSE 'BALANCED' END AS direction, n AS sample_count, CASE WHEN n >= 30 THEN round(p, 5) END AS percentile,
   CASE WHEN v = 0 THEN 'BALANCED' WHEN n >= 30 THEN 'READY' ELSE 'INSUFFICIENT_HISTORY' END AS status, CASE WHEN n < 30 THEN NULL WHEN p >= 95 THEN 'EXTREME' WHEN p >= 90 THEN 'STRONG' WHEN p >= 75 THEN 'ELEVATED' ELSE 'NORMAL' END AS label FROM p"""))
 def score_percentile(spark, sf):
-    h = history(spark, sf).withColumn("combined_normalized", r("combined_normalized", 9))
+    h = materialize(history(spark, sf).withColumn("combined_normalized", r("combined_normalized", 9)), "scores")
     p = SC.score_percentile(h, CFG, STEPS["15m"], T0)
     return p.select("T", "direction", "sample_count", r("percentile", 5).alias("percentile"), "status", "label")
 
@@ -289,11 +290,12 @@ cte("pct_e", """SELECT a.*, count(b.T) AS n, CASE WHEN a.slope <> 0 AND count(b.
 
 
 def stream_e(spark, sf):
-    return SL.slope_stream(bars_e(spark, sf, "1h"), N)
+    """Read several times below, so it is written once: the trades behind it are scanned once."""
+    return materialize(SL.slope_stream(bars_e(spark, sf, "1h"), N), "slopes")
 
 
 def points_e(spark, sf):
-    return SL.slope_percentile(stream_e(spark, sf), CFG, HOUR, T0)
+    return materialize(SL.slope_percentile(stream_e(spark, sf), CFG, HOUR, T0), "slope-points")
 
 
 @query("slope_stream", build("SELECT side, idx, src AS source_idx, round(slope, 9) + 0.0::DOUBLE AS slope FROM slope_e"))
