@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DRAWS, LABELS, MIN_FINITE_DRAWS, MIN_SUPPORT_ROWS, MIN_SUPPORT_WEEKS
 from tidemark.functions.columns import count_if, ratio
 from tidemark.functions.ranks import prior_mass
+from tidemark.session import materialize
 
 GRID = ("direction", "tp", "sl", "horizon")
 MOVES = ("mfe_pct", "mae_pct", "time_to_mfe_ms", "time_to_mae_ms")
@@ -185,6 +186,7 @@ def block_bootstrap(rows: DataFrame, cell, draws: int = DRAWS, seed: int = 3101,
     cell = list(cell)
     done = ~F.col("censored")
     sums = rows.groupBy("week", *cell).agg(count_if(done).alias("n"), count_if(done & (F.col("label") == label)).alias("x"))
+    sums = materialize(sums, "weekly-sums")  # cells x weeks rows, read five times below
     base = sums.groupBy("week").agg(F.sum("n").alias("bn"), F.sum("x").alias("bx"))
     w = block_weights(base, draws, seed)
     drawn = sums.join(w, "week").groupBy("draw", *cell).agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("x") * F.col("w")).alias("x"))

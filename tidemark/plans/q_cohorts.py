@@ -82,6 +82,21 @@ def cohort_summary(spark, sf):
     return cohort_rows(spark, sf).select("category", "period", *GRID, "n", "complete", "censored", "week_blocks", "supported", r("TP_FIRST").alias("TP_FIRST"), r("mfe_pct").alias("mfe_pct"))
 
 
+DECLARED = [d for d in H.declared() if d[1] != "conflict"]
+cte("declared", "SELECT * FROM (VALUES " + ", ".join(str(d) for d in DECLARED) + ") v(category, family, interpretation)")
+
+
+@query("cohort_empty_cells", build("""SELECT d.category, p.period, coalesce(c.n, 0) AS n, coalesce(c.complete, 0) AS complete, coalesce(c.complete >= 200 AND c.week_blocks >= 5, false) AS supported FROM declared d CROSS JOIN (VALUES ('ALL'), ('H1'), ('H2')) p(period)
+  LEFT JOIN coh c ON c.category = d.category AND c.period = p.period AND c.direction = 'LONG' AND c.tp = 0.003::DOUBLE AND c.sl = 0.003::DOUBLE AND c.horizon = 16"""))
+def cohort_empty_cells(spark, sf):
+    """All predeclared cohorts appear, also those no state falls into."""
+    o = outcomes15(spark, sf).filter("direction = 'LONG' and tp = 0.003D and sl = 0.003D and horizon = 16").select("event_id", "label", "censored", "mfe_pct", "mae_pct")
+    t = H.cohort_table(members(spark, sf).filter("family <> 'conflict'"), o, [])
+    names = spark.createDataFrame(DECLARED, "category string, family string, interpretation string")
+    full = H.with_empty(t, names, spark.createDataFrame([("ALL",), ("H1",), ("H2",)], "period string"))
+    return full.select("category", "period", "n", "complete", "supported")
+
+
 COMPARE = [("all_four_support", "pattern/SSSS", "all"), ("support_4_vs_all", "support/count/4", "all"), ("support_2_vs_3", "support/count/2", "support/count/3"), ("day_vs_hour", "support/aligned/1d", "support/aligned/1h")]
 cte("cmp", "SELECT * FROM (VALUES " + ", ".join(str(c) for c in COMPARE) + ") v(comparison, a, b)")
 cte("effects", """SELECT v.comparison, a.category AS a, b.category AS b, a.period, a.direction, a.tp, a.sl, a.horizon, m AS metric, CASE m WHEN 'TP_FIRST' THEN a.tp_rate - b.tp_rate WHEN 'SL_FIRST' THEN a.sl_rate - b.sl_rate ELSE a.mfe - b.mfe END AS effect, a.complete AS a_complete, b.complete AS b_complete,
