@@ -37,10 +37,15 @@ cte("aligned", "SELECT c.T, c.P, " + ", ".join(f's{i}.T AS "src{i}", s{i}.A1 AS
 cte("signs", f"SELECT *, {' || '.join(SIGN.format(c=f'm{i}') for i in range(4))} AS imbalance_pattern, {' || '.join(SIGN.format(c=f'a{i}') for i in range(4))} AS a1_pattern FROM aligned")
 
 
+def stored_bars(spark, sf, tf):
+    """Bars are small next to the trades and read many times: written once per query."""
+    return materialize(bars_e(spark, sf, tf), f"bars-{tf}")
+
+
 def native(spark, sf):
     out = {}
     for tf in TFS:
-        b = bars_e(spark, sf, tf)
+        b = stored_bars(spark, sf, tf)
         out[tf] = X.native_states(M.decisions(b, SINCE), D.detect_a(b), LB, WIDTHS[tf])
     return out
 
@@ -53,7 +58,7 @@ def scores_only(spark, sf):
     """The four native scores, without interval lists."""
     out = {}
     for tf in TFS:
-        b = bars_e(spark, sf, tf)
+        b = stored_bars(spark, sf, tf)
         d = M.decisions(b, SINCE)
         out[tf] = M.native_score(d, M.near_map(d, D.detect_a(b), LB, WIDTHS[tf]), WIDTHS[tf])
     return out
@@ -125,7 +130,7 @@ def spatial_prevalence(spark, sf):
 
 
 def repriced(spark, sf):
-    return X.reprice(clock15(spark, sf), {tf: D.detect_a(bars_e(spark, sf, tf)) for tf in TFS}, LB, WIDTHS)
+    return X.reprice(clock15(spark, sf), {tf: D.detect_a(stored_bars(spark, sf, tf)) for tf in TFS}, LB, WIDTHS)
 
 
 STATE = "CASE WHEN support_count + resistance_count = 0 THEN 'M' WHEN support_count > resistance_count THEN 'S' WHEN resistance_count > support_count THEN 'R' ELSE 'N' END"
@@ -227,7 +232,7 @@ cte("site_hist", "SELECT T, sum(w * n) AS combined_score, sum(w * n) / 3.1::DOUB
 
 
 def history(spark, sf):
-    lev = {tf: D.detect_a(bars_e(spark, sf, tf), second_source=True) for tf in TFS}
+    lev = {tf: D.detect_a(stored_bars(spark, sf, tf), second_source=True) for tf in TFS}
     return SC.score_history(clock15(spark, sf), lev, CFG)
 
 
