@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import simhash, suffix
 
 QUERIES: dict[str, Callable] = {}
 CHECKS: dict[str, str] = {}
@@ -32,3 +32,10 @@ def op2(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op7_suffix_array")
+def op7(spark, sf):
+    """Bytes in strings of 400 bytes that occur more than once, removed from every document."""
+    out = suffix.without_repeats(table(spark, sf, "documents"), with_text=False)
+    return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
