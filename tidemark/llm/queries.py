@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash, suffix
+from tidemark.llm import line_dedup, quality, simhash, suffix
 
 QUERIES: dict[str, Callable] = {}
 CHECKS: dict[str, str] = {}
@@ -26,6 +26,27 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+LINE_DEDUP = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
+t AS (SELECT doc_id, list_transform(raw, x -> trim(x, E' \t\n\x0b\x0c\r')) AS lines FROM l),
+w AS (SELECT doc_id, at, lines[at + 1] AS a, lines[at + 2] AS b, lines[at + 3] AS c
+  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS at FROM t WHERE len(lines) >= 3)),
+f AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, at) AS nth FROM w WHERE a || b || c <> ''),
+gone AS (SELECT DISTINCT doc_id, at + unnest([0, 1, 2]) AS line FROM f WHERE nth > 1),
+e AS (SELECT doc_id, unnest(raw) AS x, unnest(range(len(raw))) AS line FROM l),
+k AS (SELECT e.doc_id, string_agg(x, chr(10) ORDER BY e.line) FILTER (gone.line IS NULL) AS kept, count(gone.line) AS n_removed
+  FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.line = e.line GROUP BY 1)
+SELECT doc_id, n_removed, coalesce(kept, CASE WHEN text IS NOT NULL THEN '' END) AS kept_text FROM l LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op1_line_dedup", LINE_DEDUP)
+def op1(spark, sf):
+    """Every document without the lines of later occurrences of three-line windows."""
+    out = line_dedup.deduplicated(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_removed", "kept_text")
+
+
 @query("op2_simhash")
 def op2(spark, sf):
     """Near-duplicate class of every document."""
@@ -39,3 +60,10 @@ def op7(spark, sf):
     """Bytes in strings of 400 bytes that occur more than once, removed from every document."""
     out = suffix.without_repeats(table(spark, sf, "documents"), with_text=False)
     return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+
+
+@query("op8_quality_rules")
+def op8(spark, sf):
+    """Text rules and the likelihood-ratio verdict of every document."""
+    out = quality.judged(table(spark, sf, "documents"), quality.trusted(table(spark, sf, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
