@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize  # before a join with a hot key both sides are tables, which AQE can split
 
 SIZE = 400
 HOT = 20_000  # different contexts of one anchor string that a task sorts
@@ -303,7 +303,7 @@ def _found(docs: DataFrame, id_col: str, text: str, size: int, hot: int, groups:
     every = materialize(
         rows.filter(F.length("_text") * 4 >= size).mapInPandas(_anchor_rows(size, k), "_a long, _b long, pos long, key long, context long"), "anchors"
     )
-    often = every.groupBy("key").count().filter("count > 1").select("key")
+    often = materialize(every.groupBy("key").count().filter("count > 1").select("key"), "often")
     every = materialize(every.join(often, "key"), "repeated")
     kinds = every.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("_a", "_b", "pos")).alias("at"))
     kinds = materialize(kinds.select("key", "context", "n", "at.*"), "contexts")
@@ -379,7 +379,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     leaves out the parts of a character cut in two (null without ``with_text``); ``kept_sha256`` is over the exact bytes.
     """
     every, found = _found(docs, id_col, text, size, hot, False)
-    reach = found.groupBy("key", "context").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead"))
+    reach = materialize(found.groupBy("key", "context").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "reach")
     spans = (
         every.join(reach, ["key", "context"])
         .select("_a", "_b", F.struct((F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("ahead")).alias("end")).alias("span"))
