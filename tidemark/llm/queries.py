@@ -28,15 +28,16 @@ def table(spark, sf, name):
 
 LINE_DEDUP = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
-t AS (SELECT doc_id, list_transform(raw, x -> trim(x, E' \t\n\x0b\x0c\r')) AS lines FROM l),
-w AS (SELECT doc_id, at, lines[at + 1] AS a, lines[at + 2] AS b, lines[at + 3] AS c
-  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS at FROM t WHERE len(lines) >= 3)),
-f AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, at) AS nth FROM w WHERE a || b || c <> ''),
-gone AS (SELECT DISTINCT doc_id, at + unnest([0, 1, 2]) AS line FROM f WHERE nth > 1),
-e AS (SELECT doc_id, unnest(raw) AS x, unnest(range(len(raw))) AS line FROM l),
-k AS (SELECT e.doc_id, string_agg(x, chr(10) ORDER BY e.line) FILTER (gone.line IS NULL) AS kept, count(gone.line) AS n_removed
-  FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.line = e.line GROUP BY 1)
-SELECT doc_id, n_removed, coalesce(kept, CASE WHEN text IS NOT NULL THEN '' END) AS kept_text FROM l LEFT JOIN k USING (doc_id)
+t AS (SELECT doc_id, list_transform(raw, lambda x: trim(x, E' \t\n\x0b\x0c\r')) AS ls FROM l),
+w AS (SELECT doc_id, p, ls[p + 1] AS a, ls[p + 2] AS b, ls[p + 3] AS c
+  FROM (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS p FROM t WHERE len(ls) >= 3) AS s),
+f AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS nth FROM w WHERE a || b || c <> ''),
+gone AS (SELECT DISTINCT doc_id, p + unnest([0, 1, 2]) AS q FROM f WHERE nth > 1),
+e AS (SELECT doc_id, unnest(raw) AS x, unnest(range(len(raw))) AS q FROM l),
+k AS (SELECT e.doc_id, string_agg(x, chr(10) ORDER BY e.q) FILTER (gone.q IS NULL) AS kept, count(gone.q) AS n_removed
+  FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.q = e.q GROUP BY 1)
+SELECT l.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(kept, CASE WHEN text IS NOT NULL THEN '' END) AS kept_text
+FROM l LEFT JOIN k ON k.doc_id = l.doc_id
 """
 
 
