@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, quality, simhash, suffix
+from tidemark.llm import line_dedup, packing, quality, simhash, suffix
+from tidemark.session import materialize
 
 QUERIES: dict[str, Callable] = {}
 CHECKS: dict[str, str] = {}
@@ -68,3 +69,17 @@ def op8(spark, sf):
     """Text rules and the likelihood-ratio verdict of every document."""
     out = quality.judged(table(spark, sf, "documents"), quality.trusted(table(spark, sf, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_packing")
+def op9(spark, sf):
+    """All documents in sequences of 2048 tokens."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    made = materialize(packing.pieces(docs, tokenizer("word_bpe_49k.json")), "pieces")
+    return packing.packed(made)
