@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality, simhash, suffix
-from tidemark.session import materialize
+from tidemark.llm import line_dedup, packing, quality, simhash, suffix, warc
+from tidemark.session import materialize, scratch
 
 QUERIES: dict[str, Callable] = {}
 CHECKS: dict[str, str] = {}
@@ -83,3 +83,22 @@ def op9(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     made = materialize(packing.pieces(docs, tokenizer("word_bpe_49k.json")), "pieces")
     return packing.packed(made)
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op10_warc", WARC)
+def op10(spark, sf):
+    """All pages through WARC archives and back."""
+    path = scratch(spark, "archive")
+    warc.write(table(spark, sf, "pages"), path)
+    return warc.resolved(warc.read(spark, path))
