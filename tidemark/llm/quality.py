@@ -77,7 +77,7 @@ def rules(docs: DataFrame, text: str = "text") -> DataFrame:
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, weight): log ratio of the smoothed target and raw frequencies in millionths; one row per bucket seen."""
     ids = trusted.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_good", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(ids, "_id", "left")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(ids.hint("merge"), "_id", "left")  # labels grow with the documents: never broadcast
     counts = (
         _hashed(rows, "_text")
         .select(F.explode(_features()).alias("bucket"), "_good")
