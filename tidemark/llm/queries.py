@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality, simhash, suffix, warc
+from tidemark.llm import line_dedup, packing, quality, simhash, suffix, topk, warc
 from tidemark.session import materialize, scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -102,3 +102,20 @@ def op10(spark, sf):
     path = scratch(spark, "archive")
     warc.write(table(spark, sf, "pages"), path)
     return warc.resolved(warc.read(spark, path))
+
+
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.e, r.e)::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id AND len(q.e) = len(r.e)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+
+@query("op3_topk", TOPK)
+def op3(spark, sf):
+    """The five best rows for every fiftieth vector."""
+    vectors = table(spark, sf, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
