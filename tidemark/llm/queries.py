@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality, simhash, suffix, topk, warc
+from tidemark.llm import langid, line_dedup, packing, quality, simhash, suffix, topk, warc
 from tidemark.session import materialize, scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -119,3 +119,10 @@ def op3(spark, sf):
     """The five best rows for every fiftieth vector."""
     vectors = table(spark, sf, "embeddings")
     return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+@query("op5_language")
+def op5(spark, sf):
+    """Language of every document by code lengths, learned from three quarters of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return langid.held_out(docs).select("doc_id", "held_out", "lang_pred", "score")
