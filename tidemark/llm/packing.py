@@ -12,6 +12,7 @@ so that blocks do not cost a bin each; every round has a fraction of the pieces
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,36 +32,83 @@ POPULATION = 4
 GENERATIONS = 6  # in an epoch
 EPOCHS = 2
 FULL = 0.995  # bins filled to this share are final; pieces of others go to the next round
-WORDS = 400_000  # different words whose ids a worker remembers
+WORDS = 600_000  # different words whose ids a worker remembers
+TOGETHER = 2_000_000  # characters whose new words are encoded together
+MARK = "\0"
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and joins nothing across it, so the ids of a text are those of its words, which
-    are looked up; new words are encoded together.
+    The tokenizer lower-cases, drops white space and joins nothing across it, so the ids of a text are those of its
+    words, which are looked up; the new words of many texts are encoded together, ``MARK`` between them.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.known = Tokenizer.from_file(tokenizer), {}
+        self.mark = self.ids(MARK)
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()  # at ASCII white space
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > WORDS:
-                self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[bytes]) -> None:
+        plain = []
+        for w in words:
+            if MARK.encode() in w or b"<|" in w:  # the mark itself, or perhaps a special token
+                self.known[w] = self.ids(w.decode()).tobytes()
+            else:
+                plain.append(w)
+        for at in range(0, len(plain), 5000):
+            part = plain[at : at + 5000]
+            ids = self.ids(f" {MARK} ".join([w.decode() for w in part]))
+            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark[0]) * 4
+            for w, i, j in zip(part, np.r_[0, cuts + 4].tolist(), np.r_[cuts, len(data)].tolist(), strict=True):
+                self.known[w] = data[i:j]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split, seen = [], set()
+        for text in texts:
+            data = (text or "").encode("utf-8", "replace")
+            words = (data if b"<|" in data else data.lower()).split()  # ASCII letters and white space
+            split.append(words)
+            seen.update(words)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > WORDS:
+            self.known.clear()
+            new = seen
+        self.learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer: str) -> Encoder:
+    """This worker's encoder, which keeps its words from task to task."""
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = Encoder(tokenizer)
+    return _ENCODERS[tokenizer]
 
 
 PIECES = "piece int, start long, length int, ids_crc32 long"
 
 
+def gathered(texts) -> Iterator[tuple[int, list]]:
+    """Runs of texts of about ``TOGETHER`` characters, with the number of the first."""
+    many, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        many.append(t)
+        size += len(t or "")
+        if size > TOGETHER:
+            yield first, many
+            many, size, first = [], 0, i + 1
+    if many:
+        yield first, many
+
+
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """One row per piece: the columns of ``docs`` without the text, then piece, start, length and ids_crc32.
 
@@ -71,15 +119,16 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), PIECES])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, last = Encoder(tokenizer), np.array([end], "<u4").tobytes()
+        encode, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
         for pdf in batches:
             rows, out = [], []
-            for i, t in enumerate(pdf[text]):
-                data = encode(t) + last
-                for n, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append(i)
-                    out.append((n, at // 4, len(part) // 4, zlib.crc32(part)))
+            for first, many in gathered(pdf[text]):
+                for i, data in enumerate(encode(many), first):
+                    data += last
+                    for n, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        rows.append(i)
+                        out.append((n, at // 4, len(part) // 4, zlib.crc32(part)))
             made = pd.DataFrame(out, columns=["piece", "start", "length", "ids_crc32"])
             yield pd.concat([pdf[names].iloc[rows].reset_index(drop=True), made], axis=1)
 
