@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, line_dedup, packing, quality, simhash, suffix, topk, warc
+from tidemark.llm import chat, langid, line_dedup, packing, pieces, quality, simhash, suffix, topk, warc
 from tidemark.session import materialize, scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -126,3 +126,40 @@ def op5(spark, sf):
     """Language of every document by code lengths, learned from three quarters of them."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return langid.held_out(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_sentencepiece")
+def op4(spark, sf):
+    """Ids of every whole document, and whether they decode to it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pieces.checked(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids_crc32", "round_trip")
+
+
+CHAT = """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+both_sides AS (SELECT pair_id FROM t GROUP BY 1 HAVING count(DISTINCT side) = 2),
+cmp AS (SELECT pair_id, n, count(*) = 2 AND min(role) = max(role) AND min(txt) = max(txt) AS same FROM t JOIN both_sides USING (pair_id) GROUP BY 1, 2),
+p AS (SELECT pair_id, coalesce(min(n) FILTER (NOT same) - 1, max(n)) AS k FROM cmp GROUP BY 1),
+r AS (SELECT t.*, p.k, replace(txt, '<|im_', '<| im_') AS body FROM t JOIN p USING (pair_id)),
+m AS (SELECT *, '<|im_start|>' || role || chr(10) AS head, body || '<|im_end|>' || chr(10) AS tail FROM r),
+o AS (SELECT *, coalesce(sum(length(head) + length(tail)) FILTER (n > k) OVER (PARTITION BY pair_id, side ORDER BY n), 0) AS stop FROM m)
+SELECT pair_id, any_value(k)::INTEGER AS n_prompt_turns,
+  coalesce(string_agg(head || tail, '' ORDER BY n) FILTER (side = 0 AND n <= k), '') AS prompt,
+  coalesce(string_agg(head || tail, '' ORDER BY n) FILTER (side = 0 AND n > k), '') AS chosen_completion,
+  coalesce(string_agg(head || tail, '' ORDER BY n) FILTER (side = 1 AND n > k), '') AS rejected_completion,
+  coalesce(string_agg((stop - length(tail))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY n) FILTER (side = 0 AND n > k AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((stop - length(tail))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY n) FILTER (side = 1 AND n > k AND role = 'assistant'), '') AS rejected_spans
+FROM o GROUP BY 1
+"""
+
+
+@query("op6_chat", CHAT)
+def op6(spark, sf):
+    """Conversations 2 n (chosen) and 2 n + 1 (rejected) as preference pairs."""
+    rows = table(spark, sf, "conversations")
+    pairs = chat.turns(rows, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    return chat.formatted(pairs).select(
+        "pair_id", "n_prompt_turns", "prompt", "chosen_completion", "rejected_completion",
+        chat.listed("chosen_spans").alias("chosen_spans"), chat.listed("rejected_spans").alias("rejected_spans"),
+    )
