@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -12,10 +13,15 @@ public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 TEXTS = [
