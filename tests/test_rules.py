@@ -48,7 +48,7 @@ def test_bucket_sides(spark):
 def test_settings_reject_unknown_fields():
     with pytest.raises(ValueError):
         Settings.from_json('{"half_life": 3}')
-    assert Settings.from_json('{"min_samples": 5}').min_samples == 5
+    assert Settings.from_json('{"ranks": {"samples": 5}}').ranks.samples == 5
 
 
 def intervals(spark, rows):

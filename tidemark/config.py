@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 
 MINUTE = 60_000
 HOUR = 3_600_000
@@ -42,54 +42,73 @@ MIN_FINITE_DRAWS = 950
 DRAWS = 1000
 
 
+@dataclass(frozen=True)
+class Scoring:
+    """How levels around a price become one balance per timeframe, and those one number."""
+
+    widths: dict = field(default_factory=lambda: dict(WIDTHS))  # share of the price on which a level counts in full
+    outer: float = 1.5  # times that width: where it stops counting
+    weights: dict = field(default_factory=lambda: {"1d": 1.0, "15m": 0.85, "1h": 0.7, "4h": 0.55})
+    days: int = LOOKBACK_DAYS
+    half_life: float = 180.0  # days
+    least_weight: float = 0.25  # of the oldest level
+    balanced: float = 0.05  # balances up to here are neither side
+
+
+@dataclass(frozen=True)
+class Slopes:
+    swings: dict = field(default_factory=lambda: {"short": 2, "medium": 4, "long": 8})  # bars on each side
+    days: int = LOOKBACK_DAYS
+    horizons: tuple = (4, 8, 16, 32)  # bars after an entry
+
+
+@dataclass(frozen=True)
+class Ranks:
+    """Percentiles among earlier values."""
+
+    samples: int = 30  # fewer give none
+    bands: tuple = (75, 90, 95)
+
+
+def _within(low, high):
+    return lambda xs: all(low < x < high for x in xs)
+
+
+# (part, value, what must hold, what is wrong otherwise)
+RULES = (
+    (Scoring, lambda p: [p.days], _within(0, 3001), "days of levels: 1 to 3000"),
+    (Scoring, lambda p: [p.half_life], _within(0, float("inf")), "half life must be positive"),
+    (Scoring, lambda p: [p.least_weight], lambda x: 0 <= x[0] <= 1, "least weight: 0 to 1"),
+    (Scoring, lambda p: [p.outer], lambda x: x[0] >= 1, "outer width: at least the inner one"),
+    (Scoring, lambda p: [p.balanced], lambda x: 0 <= x[0] < 1, "balanced band: 0 to below 1"),
+    (Scoring, lambda p: [set(p.widths), set(p.weights)], lambda x: x[0] == x[1] <= set(STEPS), "widths and weights need the same known timeframes"),
+    (Scoring, lambda p: p.widths.values(), _within(0, 1), "widths lie between 0 and 1"),
+    (Scoring, lambda p: p.weights.values(), _within(0, float("inf")), "weights must be positive"),
+    (Slopes, lambda p: [p.days], _within(0, 3001), "days of slopes: 1 to 3000"),
+    (Slopes, lambda p: p.swings.values(), _within(0, 101), "swings: 1 to 100 bars"),
+    (Ranks, lambda p: [p.samples], lambda x: x[0] >= 1, "at least one sample"),
+    (Ranks, lambda p: p.bands, lambda x: len(x) == 3 and 0 < x[0] < x[1] < x[2] < 100, "three rising bands between 0 and 100"),
+)
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Scoring and slope settings; validated on construction, JSON in and out."""
-
-    history_days: int = 850
-    half_life_days: float = 180.0
-    recency_floor: float = 0.25
-    outer_multiplier: float = 1.5
-    widths: dict = field(default_factory=lambda: dict(WIDTHS))
-    tf_weights: dict = field(
-        default_factory=lambda: {"15m": 0.85, "1h": 0.7, "4h": 0.55, "1d": 1.0}
-    )
-    balanced_band: float = 0.05
-    swing_ns: dict = field(default_factory=lambda: {"short": 2, "medium": 4, "long": 8})
-    slope_history_days: int = 850
-    percentile_bands: tuple = (75, 90, 95)
-    diagnostic_horizons: tuple = (4, 8, 16, 32)
-    min_samples: int = 30
-    chart_candles: int = 240
+    """All settings in three parts; JSON has an object for each part that differs from its defaults."""
+
+    scoring: Scoring = field(default_factory=Scoring)
+    slopes: Slopes = field(default_factory=Slopes)
+    ranks: Ranks = field(default_factory=Ranks)
 
     def __post_init__(self):
-        if not 0 < self.history_days <= 3000 or not 0 < self.slope_history_days <= 3000:
-            raise ValueError("history must be 1..3000 days")
-        if self.half_life_days <= 0 or not 0 <= self.recency_floor <= 1:
-            raise ValueError("bad recency settings")
-        if self.outer_multiplier < 1 or not 0 <= self.balanced_band < 1:
-            raise ValueError("bad proximity settings")
-        if not set(self.widths) == set(self.tf_weights) <= set(STEPS):
-            raise ValueError("widths and weights must name the same known timeframes")
-        if not all(0 < w < 1 for w in self.widths.values()):
-            raise ValueError("widths must lie in (0, 1)")
-        if not all(w > 0 for w in self.tf_weights.values()):
-            raise ValueError("weights must be positive")
-        if not all(1 <= n <= 100 for n in self.swing_ns.values()):
-            raise ValueError("swing sizes must be 1..100")
-        low, mid, high = self.percentile_bands
-        if not 0 < low < mid < high < 100:
-            raise ValueError("three increasing bands required")
-        if self.min_samples < 1:
-            raise ValueError("min_samples must be positive")
+        wrong = [text for kind, values, holds, text in RULES for part in (self.scoring, self.slopes, self.ranks) if isinstance(part, kind) and not holds(values(part))]
+        if wrong:
+            raise ValueError("; ".join(wrong))
 
     @classmethod
     def from_json(cls, text: str) -> "Settings":
-        raw = json.loads(text)
-        unknown = set(raw) - {f.name for f in fields(cls)}
-        if unknown:
-            raise ValueError(f"unknown settings: {sorted(unknown)}")
-        for name in ("percentile_bands", "diagnostic_horizons"):
-            if name in raw:
-                raw[name] = tuple(raw[name])
-        return cls(**raw)
+        kinds = {"scoring": Scoring, "slopes": Slopes, "ranks": Ranks}
+        try:
+            parts = {n: kinds[n](**{k: tuple(v) if isinstance(v, list) else v for k, v in x.items()}) for n, x in json.loads(text).items()}
+        except (KeyError, TypeError) as exc:
+            raise ValueError(f"unknown setting: {exc}") from None
+        return cls(**parts)

@@ -96,14 +96,14 @@ def proximity(price: Column, level: Column, width: Column, outer: float) -> Colu
 
 
 def age_weight(age_days: Column, cfg: Settings) -> Column:
-    floor = cfg.recency_floor
-    return F.lit(floor) + F.lit(1 - floor) * F.pow(F.lit(0.5), age_days / F.lit(cfg.half_life_days))
+    floor = cfg.scoring.least_weight
+    return F.lit(floor) + F.lit(1 - floor) * F.pow(F.lit(0.5), age_days / F.lit(cfg.scoring.half_life))
 
 
 def balance_state(value: Column, cfg: Settings) -> Column:
     return (
-        F.when(value > cfg.balanced_band, "SUPPORT")
-        .when(value < -cfg.balanced_band, "RESISTANCE")
+        F.when(value > cfg.scoring.balanced, "SUPPORT")
+        .when(value < -cfg.scoring.balanced, "RESISTANCE")
         .otherwise("BALANCED")
     )
 

@@ -20,10 +20,10 @@ def score_detail(d: DataFrame, levels: DataFrame, tf: str, cfg: Settings, near_o
 
     ``near_only`` leaves out levels beyond the outer band: they contribute zero.
     """
-    w, span = cfg.widths[tf], cfg.history_days * DAY
-    a = near_map(d, levels, span, w, cfg.outer_multiplier) if near_only else active_map(d, levels, span)
+    w, span = cfg.scoring.widths[tf], cfg.scoring.days * DAY
+    a = near_map(d, levels, span, w, cfg.scoring.outer) if near_only else active_map(d, levels, span)
     age = age_days(F.col("T"), F.col("known_at"))
-    a = a.withColumn("age_days", age).withColumn("proximity_weight", proximity(F.col("P"), F.col("price"), F.lit(w), cfg.outer_multiplier))
+    a = a.withColumn("age_days", age).withColumn("proximity_weight", proximity(F.col("P"), F.col("price"), F.lit(w), cfg.scoring.outer))
     a = a.withColumn("age_weight", age_weight(F.col("age_days"), cfg))
     return a.withColumn("contribution", F.col("proximity_weight") * F.col("age_weight"))
 
@@ -44,7 +44,7 @@ def score_timeframe(d: DataFrame, levels: DataFrame, tf: str, cfg: Settings, nea
     out = d.join(g, list(KEYS), "left").fillna(0)
     a, b = F.col("weighted_support"), F.col("weighted_resistance")
     norm = F.coalesce(ratio(a - b, a + b), F.lit(0.0))
-    out = out.withColumn("normalized", norm).withColumn("available", a + b > 0).withColumn("weight", F.lit(cfg.tf_weights[tf]))
+    out = out.withColumn("normalized", norm).withColumn("available", a + b > 0).withColumn("weight", F.lit(cfg.scoring.weights[tf]))
     return out.withColumn("state", balance_state(F.col("normalized"), cfg)).withColumn("weighted_contribution", F.col("normalized") * F.col("weight"))
 
 
@@ -61,7 +61,7 @@ def age_buckets(detail: DataFrame) -> DataFrame:
 
 def combine(scores: DataFrame, cfg: Settings) -> DataFrame:
     """Weighted sum over timeframes, normalised by all weights; timeframes without structure are named."""
-    total = sum(cfg.tf_weights.values())
+    total = sum(cfg.scoring.weights.values())
     g = scores.groupBy("symbol", "T").agg(
         F.sum("weighted_contribution").alias("combined_score"),
         F.sort_array(F.collect_list(F.when(~F.col("available"), F.col("tf")))).alias("no_structure"),
@@ -88,17 +88,17 @@ def score_percentile(history: DataFrame, cfg: Settings, step: int, origin: int,
     live = d.filter("direction <> 'BALANCED'")
     s = live.select("symbol", "direction", "slot", "v", F.lit(1.0).alias("n"))
     q = live.select("symbol", "direction", F.struct("symbol", "T").alias("k"), "slot", "v")
-    span = cfg.history_days * DAY // step
+    span = cfg.scoring.days * DAY // step
     both = q.select("symbol", "direction", "v", F.struct("k", F.lit(1).alias("sign")).alias("qid"), "slot").unionByName(
-        q.select("symbol", "direction", "v", F.struct("k", F.lit(-1).alias("sign")).alias("qid"), F.greatest(F.col("slot") - span, F.lit(0)).alias("slot"))
+        q.select("symbol", "direction", "v", F.struct("k", F.lit(-1).alias("sign")).alias("qid"), (F.col("slot") - span).alias("slot"))
     )
     m = prior_mass(s, both, ["symbol", "direction"], ["n"])
     m = m.groupBy(F.col("qid.k.symbol").alias("symbol"), F.col("qid.k.T").alias("T")).agg(
         F.sum(F.col("n_mid") * F.col("qid.sign")).alias("mid"), F.round(F.sum(F.col("n_all") * F.col("qid.sign"))).cast("long").alias("sample_count")
     )
-    p = F.when(F.col("sample_count") >= cfg.min_samples, 100 * F.col("mid") / F.col("sample_count"))
+    p = F.when(F.col("sample_count") >= cfg.ranks.samples, 100 * F.col("mid") / F.col("sample_count"))
     out = d.join(m, ["symbol", "T"], "left").fillna(0, ["sample_count"]).withColumn("percentile", p)
-    a, b, c = cfg.percentile_bands
+    a, b, c = cfg.ranks.bands
     pc = F.col("percentile")
     label = F.when(pc >= c, "EXTREME").when(pc >= b, "STRONG").when(pc >= a, "ELEVATED").when(pc.isNotNull(), "NORMAL")
     status = F.when(F.col("direction") == "BALANCED", "BALANCED").when(pc.isNotNull(), "READY").otherwise("INSUFFICIENT_HISTORY")

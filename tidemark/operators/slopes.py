@@ -26,15 +26,15 @@ def slope_percentile(stream: DataFrame, cfg: Settings, step: int, origin: int) -
     t = F.floor((F.col("T") - origin) / F.lit(step)).cast("long")
     live = stream.filter("direction <> 'FLAT'").select(*SERIES, "direction", "T", t.alias("slot"), F.abs("slope").alias("v"))
     keys = [*SERIES, "direction"]
-    span = cfg.slope_history_days * DAY // step
+    span = cfg.slopes.days * DAY // step
     ask = lambda sign, at: live.select(*keys, "v", F.struct(*SERIES, "T", F.lit(sign).alias("sign")).alias("qid"), at.alias("slot"))
-    q = ask(1, F.col("slot")).unionByName(ask(-1, F.greatest(F.col("slot") - span, F.lit(0))))
+    q = ask(1, F.col("slot")).unionByName(ask(-1, F.col("slot") - span))
     m = prior_mass(live.select(*keys, "slot", "v", F.lit(1.0).alias("n")), q, keys, ["n"], band=0.0005)
     sign = F.col("qid.sign")
     m = m.groupBy(*[F.col(f"qid.{k}").alias(k) for k in (*SERIES, "T")]).agg(
         F.sum(F.col("n_mid") * sign).alias("_mid"), F.round(F.sum(F.col("n_all") * sign)).cast("long").alias("sample_count")
     )
-    p = F.when(F.col("sample_count") >= cfg.min_samples, 100 * F.col("_mid") / F.col("sample_count"))
+    p = F.when(F.col("sample_count") >= cfg.ranks.samples, 100 * F.col("_mid") / F.col("sample_count"))
     return stream.join(m, [*SERIES, "T"], "left").fillna(0, ["sample_count"]).withColumn("percentile", p).drop("_mid")
 
 
@@ -61,7 +61,7 @@ def slope_state(stream: DataFrame, points: DataFrame, cfg: Settings) -> DataFram
     Quantiles need the samples themselves, so every decision meets its window once: ask for
     the decisions needed (the live report asks for the latest), not for a whole history.
     """
-    span = cfg.slope_history_days * DAY
+    span = cfg.slopes.days * DAY
     size = max(span // 8, 1)
     s = stream.filter("direction <> 'FLAT'").select(*SERIES, "direction", F.col("T").alias("_t"), F.abs("slope").alias("_v"), F.floor(F.col("T") / F.lit(size)).alias("_b"))
     q = points.select(*SERIES, "direction", "T", "slope", "percentile", "sample_count")
@@ -69,7 +69,7 @@ def slope_state(stream: DataFrame, points: DataFrame, cfg: Settings) -> DataFram
     j = q.withColumn("_b", F.explode(blocks)).join(s, [*SERIES, "direction", "_b"]).filter((F.col("_t") < F.col("T")) & (F.col("_t") >= F.col("T") - span))
     g = j.groupBy(*SERIES, "T").agg(F.percentile("_v", [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]).alias("quantiles"))
     d = q.join(g, [*SERIES, "T"], "left")
-    a, b, c = cfg.percentile_bands
+    a, b, c = cfg.ranks.bands
     p = F.col("percentile")
     state = (
         F.when(F.col("direction") == "FLAT", "FLAT").when(p.isNull(), "INSUFFICIENT_HISTORY").when(p >= c, "EXTREME").when(p >= b, "STRETCHED").when(p >= a, "ELEVATED").otherwise("NORMAL")
@@ -80,7 +80,7 @@ def slope_state(stream: DataFrame, points: DataFrame, cfg: Settings) -> DataFram
 
 def entries(points: DataFrame, cfg: Settings) -> DataFrame:
     """Points that enter the top band: at or above it now, and not in the bar before on the same swing."""
-    top = cfg.percentile_bands[-1]
+    top = cfg.ranks.bands[-1]
     w = Window.partitionBy(*SERIES, "_c").orderBy("idx")
     d = halo(points, "idx", before=1).withColumn("_p", F.lag(F.struct("idx", "swing", "percentile")).over(w))
     was = (F.col("_p.idx") == F.col("idx") - 1) & (F.col("_p.swing.idx") == F.col("swing.idx")) & (F.col("_p.percentile") >= top)
@@ -90,7 +90,7 @@ def entries(points: DataFrame, cfg: Settings) -> DataFrame:
 def diagnostics(points: DataFrame, candles: DataFrame, cfg: Settings) -> DataFrame:
     """What became of each entry h bars later, measured from the entry's own swing."""
     e = entries(points, cfg).select(*SERIES, "idx", "T", "slope", "swing")
-    h = e.withColumn("horizon", F.explode(F.array(*[F.lit(x).cast("long") for x in cfg.diagnostic_horizons])))
+    h = e.withColumn("horizon", F.explode(F.array(*[F.lit(x).cast("long") for x in cfg.slopes.horizons])))
     later = candles.select("symbol", "tf", (F.col("idx")).alias("_i"), F.col("close").alias("_close"))
     j = h.withColumn("_i", F.col("idx") + F.col("horizon")).join(later, ["symbol", "tf", "_i"], "left")
     s = F.log(F.col("_close") / F.col("swing.price")) / (F.col("_i") - F.col("swing.idx"))

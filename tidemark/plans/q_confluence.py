@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.config import DAY, HOUR, STEPS, TFS, WIDTHS, Settings
+from tidemark.config import DAY, HOUR, STEPS, TFS, WIDTHS, Scoring, Settings, Slopes
 from tidemark.functions.columns import age_weight, known, long, proximity, r
 from tidemark.operators import confluence as X
 from tidemark.operators import detectors as D
@@ -165,8 +165,8 @@ def shared_close_check(spark, sf):
 
 # ---- scoring -------------------------------------------------------------------------
 
-CFG = Settings(history_days=10, min_samples=30, slope_history_days=10)
-LCFG = Settings(min_samples=30)
+CFG = Settings(Scoring(days=10), Slopes(days=10))
+LCFG = Settings()
 AGEW = "(0.25::DOUBLE + 0.75::DOUBLE * pow(0.5::DOUBLE, age / 180::DOUBLE))"
 
 
@@ -348,11 +348,11 @@ def slope_series(spark, sf):
     return v.select("side", "T", r("percentile", 5).alias("percentile"), r("velocity", 5).alias("velocity"))
 
 
-@query("slope_all", build(" UNION ALL ".join(f"SELECT '{name}' AS scale, side, T, CASE WHEN slope > 0 THEN 'BALANCED + SUPPORT UP' WHEN slope < 0 THEN 'BALANCED + SUPPORT DOWN' ELSE 'BALANCED + SUPPORT FLAT' END AS description FROM (SELECT side, end_time AS T, ln(close / src_price) AS slope FROM swing_e{n} WHERE src IS NOT NULL)" for name, n in CFG.swing_ns.items())))
+@query("slope_all", build(" UNION ALL ".join(f"SELECT '{name}' AS scale, side, T, CASE WHEN slope > 0 THEN 'BALANCED + SUPPORT UP' WHEN slope < 0 THEN 'BALANCED + SUPPORT DOWN' ELSE 'BALANCED + SUPPORT FLAT' END AS description FROM (SELECT side, end_time AS T, ln(close / src_price) AS slope FROM swing_e{n} WHERE src IS NOT NULL)" for name, n in CFG.slopes.swings.items())))
 def slope_all(spark, sf):
     """Three swing scales and both sides, with the text a dashboard shows."""
     b, out = bars_e(spark, sf, "1h"), None
-    for name, n in CFG.swing_ns.items():
+    for name, n in CFG.slopes.swings.items():
         s = SL.slope_stream(b, n)
         d = s.select(F.lit(name).alias("scale"), "side", "T", SL.describe_text(F.lit("BALANCED"), F.lit("SUPPORT"), F.col("direction")).alias("description"))
         out = d if out is None else out.unionByName(d)
