@@ -23,67 +23,64 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where Catalyst copies the expression into filters."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Runs without ASCII white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def _pairs(hashes: str, step: int) -> Column:
-    """Hash of each element with the one ``step`` further on."""
-    n = F.greatest(F.size(hashes) - step, F.lit(0))
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, F.least(F.lit(1 + step), F.size(hashes) + 1), n), lambda a, b: F.xxhash64(a, b))
+def hashes(text: Column) -> Column:
+    """A hash of each word, in order."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def pairs(h: Column, step: int = 1) -> Column:
+    """Hash of each element of ``h`` with the one ``step`` further on."""
+    n = F.greatest(F.size(h) - step, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.least(F.lit(1 + step), F.size(h) + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
+def bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def _hashed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_w``, ``_w2``: hashes of words and of word pairs."""
-    return docs.withColumn("_w", F.transform(words(F.col(text)), lambda w: F.xxhash64(w))).withColumn("_w2", _pairs("_w", 1))
+def repeated_words(windows: Column) -> Column:
+    """Words covered by windows (hashes, one for each first word) that occur more than once."""
 
+    def covered(s: Column) -> Column:  # windows in order of hash: those equal to a neighbour, by place
+        equal = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
+        again = F.transform(s, lambda x, j: F.when(equal(x, j - 1) | equal(x, j + 1), x["i"]))
+        at = F.array_sort(F.filter(again, lambda i: i.isNotNull()))
+        step = lambda p: F.transform(p, lambda i, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - i, F.lit(WINDOW))))
+        return let(at, lambda p: F.aggregate(step(p), F.lit(0).cast("long"), lambda t, x: t + x))
 
-def _features() -> Column:
-    return F.transform(F.concat("_w", "_w2"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(placed, covered)).otherwise(F.lit(0).cast("long"))
 
 
-def rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def facts(text: Column, h: Column, h2: Column) -> list[Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of a text, given its word and pair hashes."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    out = docs if "_w2" in docs.columns else _hashed(docs, text)
-    out = out.withColumn("_w4", _pairs("_w2", 2)).withColumn("_w8", _pairs("_w4", 4)).withColumn("_lines", lines)
-    twice = F.size(F.array_distinct("_w8")) < F.size("_w8")
-    # windows that occur again: equal neighbours once sorted; then the words they cover, in order of place
-    out = out.withColumn("_sorted", F.when(twice, F.array_sort(F.transform("_w8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    out = out.withColumn(
-        "_again",
-        F.expr(
-            "array_sort(transform(filter(transform(_sorted, (x, j) -> named_struct('i', x.i, 'again', "
-            "coalesce(x.h = get(_sorted, j - 1).h, false) or coalesce(x.h = get(_sorted, j + 1).h, false))), x -> x.again), x -> x.i))"
-        ),
-    )
-    return out.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.expr(
-                f"coalesce(aggregate(transform(_again, (p, j) -> least({WINDOW}, coalesce(get(_again, j + 1) - p, {WINDOW}))), 0L, (s, x) -> s + x), 0L)"
-            ),
-        }
-    ).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).drop(
-        "_w4", "_w8", "_lines", "_sorted", "_again"
-    )
+    return [
+        F.size(h).cast("long").alias("n_words"),
+        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        let(pairs(h2, 2), lambda h4: let(pairs(h4, 4), repeated_words)).alias("n_repeat_words"),
+    ]
 
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, weight): log ratio of the smoothed target and raw frequencies in millionths; one row per bucket seen."""
     ids = trusted.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_good", F.lit(1))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(ids.hint("merge"), "_id", "left")  # labels grow with the documents: never broadcast
-    counts = (
-        _hashed(rows, "_text")
-        .select(F.explode(_features()).alias("bucket"), "_good")
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
-    )
+    features = let(hashes(F.col("_text")), lambda h: F.transform(F.concat(h, pairs(h)), bucket))
+    counts = rows.select(F.explode(features).alias("bucket"), "_good").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     counts = materialize(counts, "counts")
     totals = counts.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))  # one row
     ratio = F.log((F.col("good") + 1) / (F.col("goods") + BUCKETS)) - F.log((F.col("raw") + 1) / (F.col("raws") + BUCKETS))
@@ -91,7 +88,8 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: s
 
 
 def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the rules' columns, ``score`` (nats per feature, null without words) and ``kept``.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, ``score``
+    (nats per feature, null without words) and ``kept``.
 
     ``trusted`` holds ids of the target documents; without any the ratio decides nothing. Null texts have no
     words and fail; null and repeated ids are rows like any other. Column names starting with _ are reserved.
@@ -102,12 +100,23 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: st
         table.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(table, "bucket", "left")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0)).alias("weight")))), lambda x: x["weight"]).alias("_weights"))
     )
-    out = rules(_hashed(docs, text), text).withColumn("_f", _features()).crossJoin(F.broadcast(dense))
-    out = out.withColumn("_sum", F.expr("aggregate(_f, 0L, (s, b) -> s + _weights[b])")).withColumn("_n", F.size("_f").cast("long"))
-    out = out.withColumn("score", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n") / UNIT))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("_sum") >= int(THRESHOLD * UNIT) * F.col("_n"))).drop(
-        "_w", "_w2", "_f", "_weights", "_sum", "_n"
-    )
+
+    def verdict(h: Column, h2: Column) -> Column:
+        total = F.aggregate(F.concat(h, h2), F.lit(0).cast("long"), lambda s, x: s + F.get("_weights", bucket(x)))
+        return F.struct(*facts(F.col(text), h, h2), total.alias("total"), (F.size(h) + F.size(h2)).cast("long").alias("n"))
+
+    v = let(hashes(F.col(text)), lambda h: let(pairs(h), lambda h2: verdict(h, h2)))
+    failed = lambda v: (v["n_words"] < 20) | (100 * v["n_repeat_words"] > 30 * v["n_words"])
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    v = let(v, lambda v: F.struct(
+        *(v[c].alias(c) for c in fields),
+        failed(v).alias("base_failed"),
+        F.when(v["n"] > 0, v["total"] / v["n"] / UNIT).alias("score"),
+        (~failed(v) & (v["total"] >= int(THRESHOLD * UNIT) * v["n"])).alias("kept"),
+    ))
+    names = [*fields, "base_failed", "score", "kept"]
+    out = docs.crossJoin(F.broadcast(dense)).withColumn("_v", v)
+    return out.withColumns({c: F.col(f"_v.{c}") for c in names}).drop("_v", "_weights")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
