@@ -65,8 +65,9 @@ def stream_conflict(spark, sf):
     s = bar_stream(spark, sf, change=lambda b: b.withColumn("close", F.when(F.col("trade_count") < 8, F.col("close") + 1).otherwise(F.col("close"))))
     root = scratch(spark, "conflict")
 
-    def each(batch, _):
-        new, bad = L.split_conflicts(batch, store, keys, "close")
+    def each(batch, n):
+        held = store if n == 0 else store.unionByName(spark.read.parquet(f"{root}/accepted").select(*keys, "close"))
+        new, bad = L.split_conflicts(batch, held, keys, "close")
         L.append_missing(new, f"{root}/accepted", keys)
         L.append_missing(bad, f"{root}/quarantine", keys)
 
@@ -95,19 +96,12 @@ def stream_late(spark, sf):
 @query("stream_clock_guard", build("SELECT symbol, count(*) AS reversed FROM (SELECT symbol, id - lag(id) OVER (ORDER BY arrival) AS d FROM arrived) WHERE d < 0 GROUP BY symbol"))
 def stream_clock(spark, sf):
     """Server time (here the id) must not move back along the arrival order."""
-    from tidemark.operators.quality import with_previous_trade
     from tidemark.plans.q_quality import arrived
 
     path, a = scratch(spark, "arrivals"), arrived(spark, sf)
     a.write.parquet(path)
-    out = scratch(spark, "clock")
-
-    def each(batch, _):
-        d = with_previous_trade(batch, "arrival").filter(F.col("id") < F.col("prev.id")).select("symbol", "id")
-        d.write.mode("append").parquet(out)
-
-    L.run_batches(L.read_folder(spark, path, a.schema), "clock", each)
-    return spark.read.parquet(out).groupBy("symbol").agg(F.count(F.lit(1)).alias("reversed"))
+    late = L.run(L.clock_guard(L.read_folder(spark, path, a.schema)), "clock")
+    return late.groupBy("symbol").agg(F.count(F.lit(1)).alias("reversed"))
 
 
 @query("stream_detect_A", build("SELECT symbol, kind, round(price, 6) AS price, known_at FROM lev_t15m"))

@@ -7,7 +7,7 @@ sink with a checkpoint, so a restarted query goes on where it stopped.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -21,14 +21,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def read_folder(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_folder(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """A folder as a stream, of at most ``files`` files in a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
-def run(df: DataFrame, label: str) -> DataFrame:
-    """Process everything available, then return what the sink holds."""
+def run(df: DataFrame, label: str, out: str | None = None, check: str | None = None) -> DataFrame:
+    """Process everything available, then return what the sink holds.
+
+    With the same ``out`` and ``check`` (sink and checkpoint) a later run goes on where this one stopped.
+    """
     spark = df.sparkSession
-    out, check = scratch(spark, label), scratch(spark, f"{label}-state")
+    out, check = out or scratch(spark, label), check or scratch(spark, f"{label}-state")
     q = (
         df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
     )
@@ -121,27 +126,47 @@ def detect_pairs(bars: DataFrame) -> DataFrame:
 def _reversals(fraction: float):
     def fold(key, frames, state):
         rows = pd.concat(list(frames)).sort_values("open_time").reset_index(drop=True)
-        h, l, c, end = (list(rows[x]) for x in ("high", "low", "close", "end"))
-        if state.exists:
-            top, bottom = state.get
-            # The two carried extremes become the first two bars of the replay.
-            h, l, c, end = [top, top] + h, [bottom, bottom] + l, [0.0, 0.0] + c, [0, 0] + end
-            run, first = Trackers(0, h, l, c, fraction), 2
-        else:
+        h, l, c, start, end = (list(rows[x]) for x in ("high", "low", "close", "open_time", "end"))
+        run, first = None, 0
+        if state.exists:  # the carried extremes are one bar in front, which ends where the last one did
+            top, bottom, last_end = state.get
+            h, l, c, start, end = [top, *h], [bottom, *l], [0.0, *c], [last_end, *start], [last_end, *end]
             run, first = Trackers(0, h, l, c, fraction), 1
         out = []
         for i in range(first, len(h)):
+            if run is None or start[i] != end[i - 1]:  # the first bar, or one after a hole
+                run = Trackers(i, h, l, c, fraction)
+                continue
             for up, e in run.feed(i):
                 out.append((key[0], "SUPPORT" if up else "RESISTANCE", float(l[e] if up else h[e]), int(end[i])))
-        state.update((float(h[run.top]), float(l[run.bottom])))
+        state.update((float(h[run.top]), float(l[run.bottom]), int(end[-1])))
         yield pd.DataFrame(out, columns=["symbol", "kind", "price", "known_at"])
 
     return fold
 
 
 def detect_reversals(bars: DataFrame, fraction: float) -> DataFrame:
-    """Confirmed reversals on the closed-bar stream; the state is the running high and low."""
-    return bars.groupBy("symbol").applyInPandasWithState(_reversals(fraction), LEVEL, "top double, bottom double", "append", GroupStateTimeout.NoTimeout)
+    """Confirmed reversals on the closed-bar stream; the state is the running high and low and the last bar's end."""
+    return bars.groupBy("symbol").applyInPandasWithState(
+        _reversals(fraction), LEVEL, "top double, bottom double, last_end long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def _clock(key, frames, state):
+    last = state.get[0] if state.exists else None
+    rows = pd.concat(list(frames)).sort_values("arrival")
+    out = []
+    for arrival, i in zip(rows["arrival"], rows["id"]):
+        if last is not None and i < last:
+            out.append((key[0], int(arrival), int(i)))
+        last = int(i)
+    state.update((last,))
+    yield pd.DataFrame(out, columns=["symbol", "arrival", "id"])
+
+
+def clock_guard(trades: DataFrame) -> DataFrame:
+    """Trades (symbol, arrival, id) whose id is below that of the trade that arrived before, in this batch or an earlier one."""
+    return trades.groupBy("symbol").applyInPandasWithState(_clock, "symbol string, arrival long, id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def _transitions(key, frames, state):
@@ -161,11 +186,19 @@ def transition_alerts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(_transitions, "key long, seq long, before string, after string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def split_conflicts(batch: DataFrame, store: DataFrame, keys, value: str):
-    """New rows, and rows that contradict a stored one (same key, other value); equal rows vanish."""
+def split_conflicts(batch: DataFrame, store: DataFrame, keys, value: str, order: str = "arrival"):
+    """New rows, and rows that contradict an accepted one (same key, other value); equal rows vanish.
+
+    Of new rows with one key the first by ``order`` (then by value) is accepted, the others are held against it.
+    """
+    keys = list(keys)
     old = store.select(*keys, F.col(value).alias("_old"))
-    j = batch.join(old, list(keys), "left")
-    return j.filter("_old is null").drop("_old"), j.filter(F.col("_old").isNotNull() & (F.col("_old") != F.col(value))).drop("_old")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order, value))
+    first = F.first(value).over(Window.partitionBy(*keys).orderBy(order, value))
+    j = batch.join(old, keys, "left").withColumn("_nth", nth).withColumn("_held", F.coalesce("_old", first))
+    new = j.filter("_old is null and _nth = 1")
+    bad = j.filter((F.col("_old").isNotNull() | (F.col("_nth") > 1)) & (F.col("_held") != F.col(value)))
+    return new.drop("_old", "_nth", "_held"), bad.drop("_old", "_nth", "_held")
 
 
 def append_missing(batch: DataFrame, path: str, keys) -> None:
