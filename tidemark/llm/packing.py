@@ -13,6 +13,7 @@ so that blocks do not cost a bin each; every round has a fraction of the pieces
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ FULL = 0.995  # bins filled to this share are final; pieces of others go to the
 WORDS = 600_000  # different words whose ids a worker remembers
 TOGETHER = 2_000_000  # characters whose new words are encoded together
 MARK = "\0"
+LONE = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
 
 
 class Encoder:
@@ -72,7 +74,8 @@ class Encoder:
         split, seen = [], set()
         for text in texts:
             data = (text or "").encode("utf-8", "replace")
-            words = (data if b"<|" in data else data.lower()).split()  # ASCII letters and white space
+            # ASCII letters and white space; a mark after a letter and before a blank is a token of its own anyway.
+            words = data.split() if b"<|" in data else LONE.sub(rb" \1 ", data.lower()).split()
             split.append(words)
             seen.update(words)
         new = seen.difference(self.known)
@@ -135,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
     return docs.mapInPandas(run, schema)
 
 
-# A packing is a list of bins, a bin a tuple of piece numbers. Pieces are numbered within a block.
+# A packing is a list of bins, a bin its fill and a tuple of piece numbers. Pieces are numbered within a block.
 
 
 class Block:
@@ -144,78 +147,86 @@ class Block:
     def __init__(self, lengths: list[int], capacity: int, seed: int):
         self.lengths, self.capacity, self.random = lengths, capacity, Random(seed)
 
-    def best_fit(self, loose: list[int], bins: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    def best_fit(self, loose: list[int], bins: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, tuple[int, ...]]]:
         """Put each loose piece, in order, into the fullest bin that has room."""
-        out = [list(b) for b in bins]
-        room = sorted((self.capacity - sum(self.lengths[i] for i in b), n) for n, b in enumerate(out))
+        lengths, capacity = self.lengths, self.capacity
+        out = [list(members) for _, members in bins]
+        # Room and number of each bin with room, as one number.
+        room = sorted((capacity - fill) << 32 | n for n, (fill, _) in enumerate(bins) if fill < capacity)
         for i in loose:
-            need = self.lengths[i]
-            at = bisect_left(room, (need, -1))
+            need = lengths[i]
+            at = bisect_left(room, need << 32)
             if at < len(room):
-                left, n = room.pop(at)
+                best = room.pop(at)
+                n = best & 0xFFFFFFFF
                 out[n].append(i)
+                left = (best >> 32) - need
             else:
-                left, n = self.capacity, len(out)
+                n, left = len(out), capacity - need
                 out.append([i])
-            insort(room, (left - need, n))
-        return [tuple(b) for b in out]
-
-    def fill(self, b: tuple[int, ...]) -> int:
-        return sum(self.lengths[i] for i in b)
-
-    def fitness(self, packing: list[tuple[int, ...]]) -> tuple[int, int]:
+            if left:
+                insort(room, left << 32 | n)
+        fills = [capacity] * len(out)
+        for r in room:
+            fills[r & 0xFFFFFFFF] -= r >> 32
+        return list(zip(fills, map(tuple, out), strict=True))
+
+    def fitness(self, packing: list[tuple[int, tuple[int, ...]]]) -> tuple[int, int]:
         """Fewer bins first, then fuller ones."""
-        return -len(packing), sum(self.fill(b) ** 2 for b in packing)
+        return -len(packing), sum(fill * fill for fill, _ in packing)
 
-    def founder(self) -> list[tuple[int, ...]]:
+    def founder(self) -> list[tuple[int, tuple[int, ...]]]:
         """Best fit in falling order of length, disturbed at random."""
         order = sorted(range(len(self.lengths)), key=lambda i: -self.lengths[i] * (1 + 0.1 * self.random.random()))
         return self.best_fit(order, [])
 
-    def cross(self, a: list[tuple[int, ...]], b: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    def cross(self, a: list[tuple[int, tuple[int, ...]]], b: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, tuple[int, ...]]]:
         """Some of the best filled bins of ``b`` go whole into ``a``; bins of a that meet them are emptied."""
-        ranked = sorted(b, key=self.fill, reverse=True)
+        ranked = sorted(b, reverse=True)
         given = ranked[: max(1, int(len(ranked) * self.random.uniform(0.3, 0.7)))]
-        taken = {i for x in given for i in x}
+        taken = {i for _, members in given for i in members}
         kept, loose = list(given), []
         for x in a:
-            if taken.isdisjoint(x):
+            if taken.isdisjoint(x[1]):
                 kept.append(x)
             else:
-                loose += [i for i in x if i not in taken]
+                loose += [i for i in x[1] if i not in taken]
         return self.mutate(kept, loose)
 
-    def mutate(self, packing: list[tuple[int, ...]], loose: list[int]) -> list[tuple[int, ...]]:
+    def mutate(self, packing: list[tuple[int, tuple[int, ...]]], loose: list[int]) -> list[tuple[int, tuple[int, ...]]]:
         """Also empty a few of the worst filled bins, then best-fit all loose pieces, long ones first."""
-        ranked = sorted(packing, key=self.fill)
+        ranked = sorted(packing)
         n = min(len(ranked), 2 + self.random.randrange(4))
-        loose = loose + [i for x in ranked[:n] for i in x]
+        loose = loose + [i for _, members in ranked[:n] for i in members]
         self.random.shuffle(loose)
-        loose.sort(key=lambda i: -self.lengths[i])
+        loose.sort(key=self.lengths.__getitem__, reverse=True)
         return self.best_fit(loose, ranked[n:])
 
     def evolve(self, population: list, generations: int) -> list:
         """Tournaments pick the parents; a child takes the place of the worst."""
         least = -(-sum(self.lengths) // self.capacity)
+        ranked = sorted(((self.fitness(p), p) for p in population), reverse=True)
         for _ in range(generations * len(population)):
-            population.sort(key=self.fitness, reverse=True)
-            if len(population[0]) <= least:  # no packing has fewer bins
+            if -ranked[0][0][0] <= least:  # no packing has fewer bins
                 break
-            a, b = (min(self.random.sample(range(len(population)), 2)) for _ in range(2))
+            a, b = (min(self.random.sample(range(len(ranked)), 2)) for _ in range(2))
             if a == b:
-                b = (a + 1) % len(population)
-            population[-1] = self.cross(population[a], population[b])
-        return sorted(population, key=self.fitness, reverse=True)
+                b = (a + 1) % len(ranked)
+            child = self.cross(ranked[a][1], ranked[b][1])
+            ranked[-1] = (self.fitness(child), child)
+            ranked.sort(reverse=True)
+        return [p for _, p in ranked]
 
 
-def _flat(packing: list[tuple[int, ...]]) -> tuple[list[int], list[int]]:
-    return [i for b in packing for i in b], [len(b) for b in packing]
+def _flat(packing: list[tuple[int, tuple[int, ...]]]) -> tuple[list[int], list[int]]:
+    return [i for _, b in packing for i in b], [len(b) for _, b in packing]
 
 
-def _bins(order, sizes) -> list[tuple[int, ...]]:
-    out, at = [], 0
+def _bins(order, sizes, lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    out, at, order = [], 0, [int(i) for i in order]
     for n in sizes:
-        out.append(tuple(int(i) for i in order[at : at + n]))
+        members = tuple(order[at : at + n])
+        out.append((sum(map(lengths.__getitem__, members)), members))
         at += n
     return out
 
@@ -231,10 +242,10 @@ def _epoch(capacity: int, epoch: int):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 block = Block([int(x) for x in r.lengths], capacity, hash((r.block, r.island, epoch)))
-                people = [_bins(p["order"], p["sizes"]) for p in (r.population if r.population is not None else [])]
+                people = [_bins(p["order"], p["sizes"], block.lengths) for p in (r.population if r.population is not None else [])]
                 people = people or [block.founder() for _ in range(POPULATION)]
                 if r.guest is not None:
-                    people[-1] = _bins(r.guest["order"], r.guest["sizes"])
+                    people[-1] = _bins(r.guest["order"], r.guest["sizes"], block.lengths)
                 people = block.evolve(people, GENERATIONS)
                 told = [dict(zip(("order", "sizes"), _flat(x), strict=True)) for x in people]
                 yield pd.DataFrame(
