@@ -191,10 +191,10 @@ def detail_l(spark, sf):
     return d, D.detect_a(b, second_source=True)
 
 
-@query("score_detail", build("SELECT T, kind, second_open AS source_time, round(age, 6) AS age_days, prox AS proximity_weight, round(aw, 6) AS age_weight, round(contribution, 6) AS contribution FROM site_l WHERE prox > 0"))
+@query("score_detail", build("SELECT T, kind, second_open AS source_time, round(age, 6) AS age_days, prox AS proximity_weight, round(aw, 6) AS age_weight, round(contribution, 6) AS contribution FROM site_l"))
 def score_detail(spark, sf):
     d, lev = detail_l(spark, sf)
-    s = SC.score_detail(d, lev, "1d", LCFG, near_only=True).filter("proximity_weight > 0")
+    s = SC.score_detail(d, lev, "1d", LCFG)
     return s.select("T", "kind", F.col("source_timestamp").alias("source_time"), r("age_days").alias("age_days"), "proximity_weight", r("age_weight").alias("age_weight"), r("contribution").alias("contribution"))
 
 

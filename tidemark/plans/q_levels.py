@@ -388,7 +388,7 @@ def sequence_join_future(spark, sf):
 
 
 @query("measurement_view", build("""SELECT sha256('outcome-v1|' || i.zone || '|' || i.visit_number || '|' || o.event_id || '|' || o.direction || '|' || CAST(round(o.tp * 1000) AS BIGINT) || '|' || CAST(round(o.sl * 1000) AS BIGINT) || '|' || o.horizon) AS measurement_id, o.label
-      FROM vis_sep i JOIN out_e o ON o.T = i.observed_at WHERE i.visit_number = 1"""))
+      FROM vis_sep i JOIN out_e o ON o.T = i.observed_at"""))
 def measurement_view(spark, sf):
     """Interactions joined with outcomes lazily: the id is computed, nothing is materialised."""
     v = visits_e(spark, sf, 0.001, 0.003).withColumnRenamed("observed_at", "timestamp")
@@ -397,7 +397,7 @@ def measurement_view(spark, sf):
     return spark.sql(
         """SELECT sha2(concat_ws('|', 'outcome-v1', i.zone_id, i.visit_number, o.event_id, o.direction, CAST(round(o.tp * 1000) AS BIGINT),
              CAST(round(o.sl * 1000) AS BIGINT), o.horizon), 256) AS measurement_id, o.label
-           FROM tidemark_interactions i JOIN tidemark_outcomes o ON i.timestamp = o.timestamp WHERE i.visit_number = 1"""
+           FROM tidemark_interactions i JOIN tidemark_outcomes o ON i.timestamp = o.timestamp"""
     )
 
 

@@ -131,27 +131,29 @@ def match_within_regime(spark, sf):
     return m.join(b.select("event_id", F.col("timestamp").alias("target")), "event_id").select("target", F.col("control_timestamp").alias("control"))
 
 
-@query("matched_tables", build("""WITH m AS (SELECT t.event_id AS target, arg_max(p.event_id, p.T) AS control FROM buck_e t JOIN buck_e p ON p.vb = t.vb AND p.rb = t.rb AND p.T + 28800000 <= t.T GROUP BY 1)
-  SELECT o.direction, o.tp, o.sl, count(*) AS matched_target_count, count(DISTINCT m.control) AS unique_controls, round(count(*) FILTER (WHERE c.label = 'TP_FIRST') / count(*) FILTER (WHERE NOT c.censored), 6) AS control_tp_rate,
+@query("matched_tables", build("""WITH m AS (SELECT h, t.event_id AS target, arg_max(p.event_id, p.T) AS control FROM buck_e t JOIN (SELECT unnest([4, 8, 24]) AS h) ON true JOIN buck_e p ON p.vb = t.vb AND p.rb = t.rb AND p.T + h * 3600000 <= t.T GROUP BY 1, 2)
+  SELECT o.direction, o.tp, o.sl, o.horizon, count(*) AS matched_target_count, count(DISTINCT m.control) AS unique_controls, round(count(*) FILTER (WHERE c.label = 'TP_FIRST') / count(*) FILTER (WHERE NOT c.censored), 6) AS control_tp_rate,
   round(count(*) FILTER (WHERE o.label = 'TP_FIRST' AND NOT o.censored) / count(*) FILTER (WHERE NOT o.censored), 6) AS target_tp_rate
-  FROM m JOIN out_e o ON o.event_id = m.target AND o.horizon = 8 JOIN out_e c ON c.event_id = m.control AND c.horizon = 8 AND c.direction = o.direction AND c.tp = o.tp AND c.sl = o.sl GROUP BY ALL"""))
+  FROM m JOIN out_e o ON o.event_id = m.target AND o.horizon = h JOIN out_e c ON c.event_id = m.control AND c.horizon = h AND c.direction = o.direction AND c.tp = o.tp AND c.sl = o.sl GROUP BY ALL"""))
 def matched_tables(spark, sf):
     b = bucketed_e(spark, sf)
-    m = C.matched_control(b, b, ["volatility_bucket", "recent_return_bucket"], 8 * HOUR, 7 * DAY)
-    o = outcomes_e(spark, sf).filter("horizon = 8").select("event_id", "direction", "tp", "sl", "label", "censored")
-    c = o.select(F.col("event_id").alias("control_event_id"), "direction", "tp", "sl", F.col("label").alias("cl"), F.col("censored").alias("cc"))
-    j = m.join(o, "event_id").join(c, ["control_event_id", "direction", "tp", "sl"])
+    keys = ["volatility_bucket", "recent_return_bucket"]
+    apart = [C.matched_control(b, b, keys, h * HOUR, 7 * DAY).withColumn("horizon", F.lit(h)) for h in HORIZONS["1h"]]  # as far as the outcome looks
+    m = apart[0].unionByName(apart[1]).unionByName(apart[2])
+    o = outcomes_e(spark, sf).select("event_id", *S.GRID, "label", "censored")
+    c = o.select(F.col("event_id").alias("control_event_id"), *S.GRID, F.col("label").alias("cl"), F.col("censored").alias("cc"))
+    j = m.join(o, ["event_id", "horizon"]).join(c, ["control_event_id", *S.GRID])
     rate = lambda l, x: r(F.count(F.when((F.col(l) == "TP_FIRST") & ~F.col(x), 1)) / F.count(F.when(~F.col(x), 1)))
-    return j.groupBy("direction", "tp", "sl").agg(F.count(F.lit(1)).alias("matched_target_count"), F.count_distinct("control_event_id").alias("unique_controls"), rate("cl", "cc").alias("control_tp_rate"), rate("label", "censored").alias("target_tp_rate"))
+    return j.groupBy(*S.GRID).agg(F.count(F.lit(1)).alias("matched_target_count"), F.count_distinct("control_event_id").alias("unique_controls"), rate("cl", "cc").alias("control_tp_rate"), rate("label", "censored").alias("target_tp_rate"))
 
 
 # ---- joins ---------------------------------------------------------------------------
 
 
-@query("join_inner_using", build("SELECT event_id, direction, label, round(volatility, 6) AS volatility FROM out_e JOIN ctx_e USING (event_id) WHERE horizon = 24 AND tp = 0.005::DOUBLE AND sl = 0.005::DOUBLE"))
+@query("join_inner_using", build("SELECT event_id, direction, tp, sl, horizon, label, round(volatility, 6) AS volatility FROM out_e JOIN ctx_e USING (event_id)"))
 def join_inner_using(spark, sf):
-    o = outcomes_e(spark, sf).filter("horizon = 24 and tp = 0.005D and sl = 0.005D")
-    return o.join(ctx(bars_e(spark, sf, "1h")).select("event_id", "volatility"), "event_id").select("event_id", "direction", "label", r("volatility").alias("volatility"))
+    o = outcomes_e(spark, sf)
+    return o.join(ctx(bars_e(spark, sf, "1h")).select("event_id", "volatility"), "event_id").select("event_id", *S.GRID, "label", r("volatility").alias("volatility"))
 
 
 @query("join_validated", build("SELECT direction, vb AS volatility_bucket, count(*) AS n FROM out_e JOIN buck_e USING (event_id) GROUP BY ALL"))
@@ -167,10 +169,10 @@ def join_left_required(spark, sf):
     return j.select("timestamp", r("P").alias("P"))
 
 
-@query("join_outer_compare", build(f"""SELECT coalesce(a.k, b.k) AS "window", coalesce(a.n, -1) AS n_dev, coalesce(b.n, -1) AS n_rep FROM (SELECT round(quantity, 6) AS k, count(*) AS n FROM trade_e WHERE ts < {FIT_E} AND price > 1015 GROUP BY 1) a
-  FULL JOIN (SELECT round(quantity, 6) AS k, count(*) AS n FROM trade_e WHERE ts >= {FIT_E} AND price > 1015 GROUP BY 1) b ON a.k = b.k"""))
+@query("join_outer_compare", build(f"""SELECT coalesce(a.k, b.k) AS "window", coalesce(a.n, -1) AS n_dev, coalesce(b.n, -1) AS n_rep FROM (SELECT round(quantity, 6) AS k, count(*) AS n FROM trade_e WHERE ts < {FIT_E} GROUP BY 1) a
+  FULL JOIN (SELECT round(quantity, 6) AS k, count(*) AS n FROM trade_e WHERE ts >= {FIT_E} GROUP BY 1) b ON a.k = b.k"""))
 def join_outer_compare(spark, sf):
-    t = tape_e(spark, sf).filter("price > 1015").groupBy(r("quantity").alias("window"), (F.col("timestamp") < FIT_E).alias("dev")).agg(F.count(F.lit(1)).alias("n"))
+    t = tape_e(spark, sf).groupBy(r("quantity").alias("window"), (F.col("timestamp") < FIT_E).alias("dev")).agg(F.count(F.lit(1)).alias("n"))
     j = J.outer_compare(t.filter("dev"), t.filter("not dev"), ["window"], ["n"])
     return j.select("window", known("n_dev", "n_dev"), known("n_rep", "n_rep"))
 
@@ -328,16 +330,17 @@ def outcome_cell_sums(spark, sf):
     return d.select(*keys, "TP_FIRST", "SL_FIRST", "complete", r("gross_resolved_expectancy_pct").alias("gross_resolved_expectancy_pct"))
 
 
-@query("compare_event_control", build("""WITH s AS (SELECT o.*, EXISTS (SELECT 1 FROM vis_sep v WHERE v.observed_at = o.T AND v.visit_number = 1) AS ev, (row_number() OVER (PARTITION BY direction, tp, sl, horizon ORDER BY T) - 1) % 6 = 0 AS ctl FROM out_e o)
-  SELECT direction, tp, sl, horizon, round(count(*) FILTER (WHERE ev AND label = 'TP_FIRST' AND NOT censored) / count(*) FILTER (WHERE ev AND NOT censored), 6) AS event_rate, round(count(*) FILTER (WHERE ctl AND label = 'TP_FIRST' AND NOT censored) / count(*) FILTER (WHERE ctl AND NOT censored), 6) AS control_rate FROM s GROUP BY ALL"""))
+@query("compare_event_control", build("""WITH s AS (SELECT o.*, EXISTS (SELECT 1 FROM vis_sep v WHERE v.observed_at = o.T) AS ev, (row_number() OVER (PARTITION BY direction, tp, sl, horizon ORDER BY T) - 1) % 6 = 0 AS ctl FROM out_e o)
+  SELECT *, round(event_rate - control_rate, 6) AS difference FROM (SELECT direction, tp, sl, horizon, count(*) FILTER (WHERE ev AND NOT censored) AS events, count(*) FILTER (WHERE ctl AND NOT censored) AS controls, round(count(*) FILTER (WHERE ev AND label = 'TP_FIRST' AND NOT censored) / count(*) FILTER (WHERE ev AND NOT censored), 6) AS event_rate, round(count(*) FILTER (WHERE ctl AND label = 'TP_FIRST' AND NOT censored) / count(*) FILTER (WHERE ctl AND NOT censored), 6) AS control_rate FROM s GROUP BY ALL)"""))
 def compare_event_control(spark, sf):
     b = bars_e(spark, sf, "1h")
-    first = visits_e(spark, sf, 0.001, 0.003).filter("visit_number = 1").select(F.col("observed_at").alias("timestamp")).distinct()
+    seen = visits_e(spark, sf, 0.001, 0.003).select(F.col("observed_at").alias("timestamp")).distinct()
     ctl = O.schedule_controls(b, 6).select(F.col("T").alias("timestamp"))
     o = outcomes_e(spark, sf).filter("not censored")
-    both = o.join(first, "timestamp", "left_semi").withColumn("group", F.lit("event")).unionByName(o.join(ctl, "timestamp", "left_semi").withColumn("group", F.lit("control")))
-    p = both.groupBy(*S.GRID).pivot("group", ["event", "control"]).agg(F.avg((F.col("label") == "TP_FIRST").cast("double")))
-    return p.select(*S.GRID, r("event").alias("event_rate"), r("control").alias("control_rate"))
+    both = o.join(seen, "timestamp", "left_semi").withColumn("group", F.lit("event")).unionByName(o.join(ctl, "timestamp", "left_semi").withColumn("group", F.lit("control")))
+    p = both.groupBy(*S.GRID).pivot("group", ["event", "control"]).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == "TP_FIRST").cast("double")).alias("rate"))
+    p = p.select(*S.GRID, F.coalesce("event_n", F.lit(0)).alias("events"), F.coalesce("control_n", F.lit(0)).alias("controls"), r("event_rate").alias("event_rate"), r("control_rate").alias("control_rate"))
+    return p.withColumn("difference", r(F.col("event_rate") - F.col("control_rate")))
 
 
 @query("detector_counts", build("SELECT kind, count(*) AS interaction_count, count(DISTINCT observed_at) AS unique_events FROM vis_sep GROUP BY kind"))
@@ -398,10 +401,11 @@ def normalized_delta_(spark, sf):
 
 @query("midrank_expanding", build("""WITH e AS (SELECT *, count(*) OVER (PARTITION BY t) AS m FROM ndelta)
   SELECT a.t AS timestamp, a.bin, count(b.t) AS history_rows, round((count(*) FILTER (WHERE b.v < a.v) + 0.5::DOUBLE * count(*) FILTER (WHERE b.v = a.v)) / nullif(count(b.t), 0), 6) AS row_percentile,
-  round(sum(CASE WHEN b.v < a.v THEN 1.0::DOUBLE / b.m WHEN b.v = a.v THEN 0.5::DOUBLE / b.m ELSE 0 END) / nullif(sum(1.0::DOUBLE / b.m), 0), 6) AS event_percentile FROM e a LEFT JOIN e b ON b.t < a.t GROUP BY a.t, a.bin"""))
+  round(round(sum(CASE WHEN b.v < a.v THEN 1.0::DOUBLE / b.m WHEN b.v = a.v THEN 0.5::DOUBLE / b.m ELSE 0 END) / nullif(sum(1.0::DOUBLE / b.m), 0), 12), 6) AS event_percentile FROM e a LEFT JOIN e b ON b.t < a.t GROUP BY a.t, a.bin"""))
 def midrank_expanding(spark, sf):
     m = S.midrank_expanding(ndelta(spark, sf), ["config"], DAY, 9000 * DAY)
-    return m.select("timestamp", "bin", "history_rows", r("row_percentile").alias("row_percentile"), r("event_percentile").alias("event_percentile"))
+    exact = F.round("event_percentile", 12)  # sums of thirds and the like: their noise must not decide a 5 in the last place
+    return m.select("timestamp", "bin", "history_rows", r("row_percentile").alias("row_percentile"), r(exact).alias("event_percentile"))
 
 
 FREEZE = 10_000 * DAY
