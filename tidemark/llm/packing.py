@@ -96,7 +96,7 @@ def encoder(tokenizer: str) -> Encoder:
     return _ENCODERS[tokenizer]
 
 
-PIECES = "piece int, start long, length int, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def gathered(texts) -> Iterator[tuple[int, list]]:
@@ -258,7 +258,7 @@ def _epoch(capacity: int, epoch: int):
 
 def _places(rows: DataFrame, capacity: int, blocks: int) -> DataFrame:
     """(block, bin, at): the bin of each row of ``rows`` (block, at, length); ``at`` counts the rows of a block from 0."""
-    lengths = F.transform(F.array_sort(F.collect_list(F.struct("at", "length"))), lambda x: x["length"]).alias("lengths")
+    lengths = F.transform(F.array_sort(F.collect_list(F.struct("at", "length"))), lambda x: x["length"].cast("int")).alias("lengths")
     state = rows.groupBy("block").agg(lengths).select(
         "block",
         F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
