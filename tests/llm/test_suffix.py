@@ -104,5 +104,19 @@ def test_slices_join(spark, monkeypatch):
     assert (whole == parts[0]).all()
 
 
+@pytest.mark.parametrize("step", [64, 700])
+def test_long_texts_lose_nothing_at_slice_borders(spark, monkeypatch, step):
+    monkeypatch.setattr(suffix, "SLICE", step)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage, twice = make(90), make(1500)
+    rows = [make(5000), make(700 * 3 + 10) + passage + make(680) + passage, twice, twice, "q" * 900, make(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)] + [(2, twice)], "doc_id long, text string").coalesce(1)
+    got = suffix.without_repeats(df, size=40).select("doc_id", "cut.*").collect()
+    want = removed([*rows, twice], 40)
+    assert want[0][1] == 0 and want[1][1] >= 180
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i, *w) for i, w in zip([0, 1, 2, 3, 4, 5, 2], want))
+
+
 def test_empty_table(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []

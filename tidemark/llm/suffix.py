@@ -94,27 +94,35 @@ def anchors(parts: list[bytes], size: int, k: int) -> list[tuple[np.ndarray, np.
 
 
 def _anchor_rows(size: int, k: int):
-    def flush(todo, out):
+    def flush(todo, out, last):
+        """Rows of the slices; ``last`` is the last place in the text of the first one, and returned for the slice after.
+        Windows on both sides of a border may choose one anchor: places never fall, so it is the last one again."""
         for (a, b, text, at), (places, keys) in zip(todo, anchors([t[at : at + SLICE + size - 1] for _, _, t, at in todo], size, k), strict=True):
+            if at == 0:
+                last = -1
             for p, key in zip((places + at).tolist(), keys.view(np.int64).tolist(), strict=True):
+                if p <= last:
+                    continue
+                last = p
                 context = text[max(0, p - size + k) : p + size]
                 out.append((a, b, p, key, xxhash.xxh3_64_intdigest(context, min(p, size - k))))
+        return last
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            todo, held, out = [], 0, []
+            todo, held, out, last = [], 0, [], -1
             for a, b, text in zip(pdf["_a"].tolist(), pdf["_b"].tolist(), pdf["_text"], strict=True):
                 data = (text or "").encode("utf-8", "replace")
                 for at in range(0, max(0, len(data) - size + 1), SLICE):
                     todo.append((a, b, data, at))
                     held += min(SLICE, len(data) - at) + size
                     if held >= SLICE:
-                        flush(todo, out)
+                        last = flush(todo, out, last)
                         todo, held = [], 0
                 if len(out) > 200_000:
                     yield _rows(out)
                     out = []
-            flush(todo, out)
+            flush(todo, out, last)
             yield _rows(out)
 
     def _rows(out):
