@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, line_dedup, packing, pieces, quality, simhash, suffix, topk, warc
+from tidemark.llm import chat, langid, line_dedup, mixing, packing, pieces, quality, simhash, suffix, topk, warc
 from tidemark.session import materialize, scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -163,3 +163,26 @@ def op6(spark, sf):
         "pair_id", "n_prompt_turns", "prompt", "chosen_completion", "rejected_completion",
         chat.listed("chosen_spans").alias("chosen_spans"), chat.listed("rejected_spans").alias("rejected_spans"),
     )
+
+
+MIX = r"""
+WITH q AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS w FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT d.doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+  -ln((('0x' || substr(sha256(coalesce(d.doc_id::VARCHAR, '-') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / coalesce(w, 1) AS key
+  FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w FROM d GROUP BY 1),
+r AS (SELECT *, rank() OVER (ORDER BY source_size / w::DOUBLE, source NULLS LAST) AS k FROM s),
+c AS (SELECT a.k, (SELECT sum(source_size) FROM s) - coalesce(sum(3 * b.source_size) FILTER (b.k < a.k), 0) AS rest, sum(b.w) FILTER (b.k >= a.k) AS weight FROM r a, r b GROUP BY a.k),
+f AS (SELECT r.*, rest, weight, 3 * source_size * weight <= w * rest AS full_ FROM r JOIN c USING (k)),
+t AS (SELECT source, source_size, CASE WHEN full_ THEN (3 * source_size)::DOUBLE ELSE (w * (SELECT arg_min(rest, k) FROM f WHERE NOT full_))::DOUBLE / (SELECT arg_min(weight, k) FROM f WHERE NOT full_)::DOUBLE END AS target FROM f),
+o AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN target - epochs * source_size > 0 AND 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM o
+"""
+
+
+@query("op12_mixing", MIX)
+def op12(spark, sf):
+    """How often the mix of all sources takes each document, good ones first."""
+    docs = mixing.label_weights(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return mixing.mixed(docs, "quality_weight").select("doc_id", "size", "source_size", "target", "taken")
