@@ -93,7 +93,7 @@ def test_good_documents_are_taken_more_often(spark):
     labels = spark.createDataFrame([(r[0], r[3], 0) for r in data] + [(0, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     weighed = mixing.label_weights(docs.withColumnRenamed("quality", "quality_weight"), labels)
     assert dict(weighed.groupBy("quality_weight").count().collect()) == {2.0: 1999, 0.5: 2004}
-    taken = mixing.mixed(weighed, "quality_weight").join(docs, "doc_id").filter("source = 'small' and copies = 1").groupBy("quality").count()
+    taken = mixing.mixed(weighed, "quality_weight").join(docs.select("doc_id", "quality"), "doc_id").filter("source = 'small' and copies = 1").groupBy("quality").count()
     n = dict(taken.collect())
     assert n[1] > 1.5 * n[0]
 

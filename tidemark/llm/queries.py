@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, line_dedup, mixing, packing, pieces, quality, simhash, suffix, topk, warc
+from tidemark.llm import chat, langid, line_dedup, merkle, mixing, packing, pieces, quality, simhash, suffix, topk, warc
 from tidemark.session import materialize, scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -186,3 +186,46 @@ def op12(spark, sf):
     """How often the mix of all sources takes each document, good ones first."""
     docs = mixing.label_weights(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return mixing.mixed(docs, "quality_weight").select("doc_id", "size", "source_size", "target", "taken")
+
+
+MERKLE = """
+WITH RECURSIVE v AS (SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+  coalesce(strlen(text) || ':' || text, '-') AS z, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))) AS crc FROM documents),
+b AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+  sha256(a || coalesce(strlen((n_chars + x)::VARCHAR) || ':' || (n_chars + x), '-') || z) AS bad FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS x FROM v)),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM b),
+t AS (SELECT g, 0 AS lev, pos, leaf AS h, n FROM l UNION ALL
+  SELECT * FROM (SELECT g, lev + 1, pos // 2, sha256(h || coalesce(lead(h) OVER (PARTITION BY g ORDER BY pos), '')), (n + 1) // 2 AS m FROM t WHERE n > 1 QUALIFY pos % 2 = 0)),
+tm AS MATERIALIZED (SELECT * FROM t),
+s AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tm WHERE n = 1),
+u AS (SELECT 0 AS lev, pos, subroot AS h, n FROM s UNION ALL
+  SELECT * FROM (SELECT lev + 1, pos // 2, sha256(h || coalesce(lead(h) OVER (ORDER BY pos), '')), (n + 1) // 2 AS m FROM u WHERE n > 1 QUALIFY pos % 2 = 0)),
+um AS MATERIALIZED (SELECT * FROM u),
+up AS (SELECT g, 0 AS lev, pos, ''::VARCHAR AS proof, []::VARCHAR[] AS ls, []::VARCHAR[] AS rs FROM s UNION ALL
+  SELECT up.g, up.lev + 1, up.pos // 2, proof || coalesce(x.h, ''), list_append(ls, CASE WHEN up.pos % 2 = 1 THEN x.h ELSE '' END), list_append(rs, CASE WHEN up.pos % 2 = 0 THEN coalesce(x.h, '') ELSE '' END)
+  FROM up JOIN um o ON o.lev = up.lev AND o.pos = up.pos AND o.n > 1 LEFT JOIN um x ON x.lev = up.lev AND x.pos = xor(up.pos, 1)),
+lo AS (SELECT doc_id, g, leaf, pos AS place, 0 AS lev, pos, ''::VARCHAR AS proof, bad AS f FROM l UNION ALL
+  SELECT lo.doc_id, lo.g, lo.leaf, place, lo.lev + 1, lo.pos // 2, proof || coalesce(x.h, ''), sha256(CASE WHEN lo.pos % 2 = 1 THEN x.h || f ELSE f || coalesce(x.h, '') END)
+  FROM lo JOIN tm o ON o.g = lo.g AND o.lev = lo.lev AND o.pos = lo.pos AND o.n > 1 LEFT JOIN tm x ON x.g = lo.g AND x.lev = lo.lev AND x.pos = xor(lo.pos, 1)),
+e AS (SELECT * FROM lo QUALIFY row_number() OVER (PARTITION BY g, place ORDER BY lev DESC) = 1),
+k AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY g ORDER BY lev DESC) = 1),
+w AS (SELECT e.doc_id, e.leaf, s.subroot, (SELECT h FROM um WHERE n = 1) AS root, sha256(e.proof || k.proof) AS proof_sha256,
+  list_reduce(list_prepend(f, list_transform(range(1, len(ls) + 1), lambda i: ls[i] || ':' || rs[i])), lambda acc, y: sha256(replace(y, ':', acc))) AS folded_root
+  FROM e JOIN s USING (g) JOIN k USING (g))
+SELECT *, folded_root = root AS verified FROM w
+"""
+
+
+@query("op13_merkle", MERKLE)
+def op13(spark, sf):
+    """Leaf, roots and proof of every document, and whether tampered documents still fold to the root."""
+    docs = table(spark, sf, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    cells = lambda n: [F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")]
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    tampered = F.when(hit, merkle.leaf(*cells(n_chars + 1)))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*cells(n_chars)).alias("leaf"), tampered.alias("tampered"))
+    out = merkle.manifest(leaves, "lang", "doc_id")
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))).withColumn("proof_sha256", merkle.proof_digest(F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
