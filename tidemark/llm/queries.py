@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, line_dedup, merkle, mixing, packing, pieces, quality, simhash, suffix, topk, warc
+from tidemark.llm import chat, langid, line_dedup, merkle, mixing, packing, phrases, pieces, quality, simhash, suffix, topk, warc
 from tidemark.session import materialize, scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -229,3 +229,26 @@ def op13(spark, sf):
     out = merkle.manifest(leaves, "lang", "doc_id")
     out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))).withColumn("proof_sha256", merkle.proof_digest(F.col("path")))
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i + 1 : i + m], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(len(ws) - m + 1)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) AS ms WHERE len(ws) >= m) AS s),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 100),
+k AS (SELECT c.lang, c.m, c.phrase, c.a, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score, k
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) AS c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ') JOIN n ON n.lang = c.lang),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.lang = s.lang AND d.m > s.m AND 100 * d.a >= 100 * s.a AND contains(' ' || d.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) AS t WHERE rank <= 2000
+"""
+
+
+@query("op11_phrases", PHRASES)
+def op11(spark, sf):
+    """The best collocations of each language."""
+    return phrases.collocations(table(spark, sf, "documents").select("lang", "text"))
