@@ -66,7 +66,7 @@ def test_against_plain_python(spark):
     weights += weights[:30]
     data = [(*r, w, "x", 7) for r, w in zip(rows, weights)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string, w double, taken string, target int")
-    got = mixing.mixed(df, "w").collect()
+    got = mixing.mixed(mixing.measured(df, ["w"]), "w").collect()
     assert ordered((r.doc_id, r.source, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == ordered(plain(rows, weights))
     by = defaultdict(list)
     for r in got:
@@ -93,11 +93,11 @@ def test_good_documents_are_taken_more_often(spark):
     labels = spark.createDataFrame([(r[0], r[3], 0) for r in data] + [(0, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     weighed = mixing.label_weights(docs.withColumnRenamed("quality", "quality_weight"), labels)
     assert dict(weighed.groupBy("quality_weight").count().collect()) == {2.0: 1999, 0.5: 2004}
-    taken = mixing.mixed(weighed, "quality_weight").join(docs.select("doc_id", "quality"), "doc_id").filter("source = 'small' and copies = 1").groupBy("quality").count()
+    taken = mixing.mixed(mixing.measured(weighed, ["quality_weight"]), "quality_weight").join(docs.select("doc_id", "quality"), "doc_id").filter("source = 'small' and copies = 1").groupBy("quality").count()
     n = dict(taken.collect())
     assert n[1] > 1.5 * n[0]
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
-    assert mixing.mixed(df).collect() == []
+    assert mixing.mixed(mixing.measured(df)).collect() == []

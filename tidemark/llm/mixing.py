@@ -53,8 +53,14 @@ def targets(sources: DataFrame, shares=SHARES, most: int = MAX_EPOCHS) -> DataFr
     return line.crossJoin(F.broadcast(rest)).select("_source", "source_size", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mixed(docs: DataFrame, weight: str | None = None, shares=SHARES, most: int = MAX_EPOCHS, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken): how often the mix takes each document, and its words.
+def measured(docs: DataFrame, keep=(), id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(id, source, size, u) and the columns of ``keep``: all that the mix needs of the documents, without their texts."""
+    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.col(id_col), F.col(source).alias("source"), size.alias("size"), uniform(F.col(id_col), F.col(text)).alias("u"), *keep)
+
+
+def mixed(rows: DataFrame, weight: str | None = None, shares=SHARES, most: int = MAX_EPOCHS, id_col: str = "doc_id") -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken): how often the mix takes each of the ``measured`` documents, and its words.
 
     Every document is taken ``floor(target / source_size)`` times; those first in order of key are taken once more, up to
     the one whose middle the remaining budget reaches. Whole documents only, so a source misses its target by half a
@@ -62,12 +68,11 @@ def mixed(docs: DataFrame, weight: str | None = None, shares=SHARES, most: int =
     null and repeated ids are rows like any other (of equal rows any may be the one taken once more). A null weight
     counts as 1, one that is not above zero puts the document behind all others. Other columns are not read.
     """
-    u = uniform(F.col(id_col), F.col(text))
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     good = (w > 0) & ~F.isnan(w)
-    rows = docs.select(
-        F.col(id_col), F.col(source).alias("_source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        (~good).alias("_late"), (-F.log(u) / F.when(good, w).otherwise(F.lit(1.0))).alias("_key"), F.rand(12).alias("_tie"),
+    rows = rows.select(
+        F.col(id_col), F.col("source").alias("_source"), "size",
+        (~good).alias("_late"), (-F.log("u") / F.when(good, w).otherwise(F.lit(1.0))).alias("_key"), F.rand(12).alias("_tie"),
     )
     rows = materialize(rows, "sizes")
     plan = targets(rows.groupBy("_source").agg(F.sum("size").alias("source_size")), shares, most)

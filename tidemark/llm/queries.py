@@ -184,8 +184,8 @@ SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN target - epochs *
 @query("op12_mixing", MIX)
 def op12(spark, sf):
     """How often the mix of all sources takes each document, good ones first."""
-    docs = mixing.label_weights(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return mixing.mixed(docs, "quality_weight").select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.label_weights(mixing.measured(table(spark, sf, "documents")), table(spark, sf, "labels"))
+    return mixing.mixed(rows, "quality_weight").select("doc_id", "size", "source_size", "target", "taken")
 
 
 MERKLE = """
