@@ -7,9 +7,10 @@ a block (mod 2^64) gives the fingerprint of every run of words by one subtractio
    all that a sum needs). They meet by shuffle in parts whose number follows the text, and every block gets back one bit for
    each hash: frequent or not. A hash that two share can only let too much through.
 2. A longer phrase can be frequent only if all its pairs are. Those that pass go out as fingerprints with their count in the block
-   and a pointer to one occurrence. In the block all occurrences of a fingerprint are compared byte by byte.
-3. Of fingerprints that reach the least count, each block reads its phrases at the pointers, and sums by text decide: fingerprints
-   that collide part here. No other phrase is ever materialised.
+   and a pointer to one occurrence. In the block all occurrences of a fingerprint are compared byte by byte, and those that
+   differ go out apart, with a fingerprint from another base that comes along: 128 bits tell phrases apart between blocks.
+3. Of those that reach the least count the first and the last occurrence of all are read at their pointers and compared;
+   no other phrase is ever materialised.
 
 Scores come from the table of frequent phrases alone, as every part of a frequent phrase is frequent.
 """
@@ -31,9 +32,10 @@ BLOCK = 4 << 20  # bytes of text in a block, about
 PART = 4 << 20  # bytes of text whose hashes meet in one part, about
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t" + BREAKS, bytes(range(97, 123)) + b" " + b"\n" * len(BREAKS))
-BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2^64
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses mod 2^64
+AT = 24  # bits of a place in a block
 BLOCKS = "blk long, lang string, body binary, own long, n_words long"
-POINTERS = "fp long, n long, blk long, at int, size int"
+POINTERS = "fp long, other long, n long, pointer long, size int"
 
 
 def normal(raw: bytes) -> np.ndarray:
@@ -87,7 +89,7 @@ def _blocks(longest: int):
             for body, own, words in cut(a, longest):
                 if words:
                     yield pa.RecordBatch.from_pydict({
-                        "blk": pa.array([(task << 32) + done], pa.int64()), "lang": pa.array([lang]), "body": pa.array([zstandard.compress(body.tobytes(), 3)], pa.binary()),
+                        "blk": pa.array([(task << 19) + done], pa.int64()), "lang": pa.array([lang]), "body": pa.array([zstandard.compress(body.tobytes(), 3)], pa.binary()),
                         "own": pa.array([own], pa.int64()), "n_words": pa.array([words], pa.int64()),
                     })
                     done += 1
@@ -113,7 +115,7 @@ def _blocks(longest: int):
 class Grams:
     """Words of a block and the fingerprints of its phrases."""
 
-    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, body: bytes, own: int, lang: str):
         self.bytes = a = np.frombuffer(zstandard.decompress(body), np.uint8)
@@ -125,15 +127,15 @@ class Grams:
         # Is the next word in the same piece?
         self.joined = np.append(a[self.end[:-1]] == 32, False)
         self.own = self.start < own
-        powers, self.inverse = self.powers(len(a))
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * powers[: len(a)])])
         self.seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+        self._sums: dict[int, np.ndarray] = {}
 
     @classmethod
-    def powers(cls, n: int):
-        if len(cls._powers[0]) < n:
-            cls._powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
-        return cls._powers
+    def powers(cls, base: int, n: int):
+        """Powers of a base and of its inverse, at least up to ``n``."""
+        if base not in cls._powers or len(cls._powers[base][0]) <= n:
+            cls._powers[base] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+        return cls._powers[base]
 
     def chains(self, n: int, good: np.ndarray | None = None) -> np.ndarray:
         """First words of all runs of ``n`` words in a piece; with ``good``, all of whose pairs are good."""
@@ -147,9 +149,13 @@ class Grams:
                 ok &= good[k : w - n + 1 + k]
         return np.flatnonzero(ok)
 
-    def fingerprints(self, first: np.ndarray, n: int) -> np.ndarray:
+    def fingerprints(self, first: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
+        powers, inverse = self.powers(base, len(self.bytes))
+        if base not in self._sums:
+            terms = (self.bytes.astype(np.uint64) + np.uint64(1)) * powers[: len(self.bytes)]
+            self._sums[base] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
         s, e = self.start[first], self.end[first + n - 1]
-        x = (self.prefix[e] - self.prefix[s]) * self.inverse[s] ^ self.seed
+        x = (self._sums[base][e] - self._sums[base][s]) * inverse[s] ^ self.seed
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # spreads all bits
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return x
@@ -234,20 +240,22 @@ def _pointed(parts: int, longest: int):
                 others.setdefault((int(fp[i]), g.bytes[s[i] : s[i] + size[i]].tobytes()), []).append(i)
             extra = np.array([x[0] for x in others.values()], np.int64)  # one occurrence of each
             at = np.concatenate([one, extra])
-            out.append((fp[at], np.concatenate([count, np.array([len(x) for x in others.values()], np.int64)]), s[at], size[at]))
-        fp, n, at, size = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"fp": fp.view(np.int64), "n": n.astype(np.int64), "blk": np.full(len(fp), blk, np.int64), "at": at.astype(np.int32), "size": size.astype(np.int32)})
+            out.append((fp[at], g.fingerprints(first[at], n, BASES[1]), np.concatenate([count, np.array([len(x) for x in others.values()], np.int64)]), s[at], size[at]))
+        fp, other, n, at, size = (np.concatenate(c) for c in zip(*out))
+        return pa.table({
+            "fp": fp.view(np.int64), "other": other.view(np.int64), "n": n.astype(np.int64), "pointer": (blk << AT) + at.astype(np.int64), "size": size.astype(np.int32),
+        })
 
     return point
 
 
 def _read(left: pa.Table, right: pa.Table) -> pa.Table:
-    text = zstandard.decompress(left["body"][0].as_py())
+    text = zstandard.decompress(left["body"][0].as_py()) if len(right) else b""
     at, size = right["at"].to_pylist(), right["size"].to_pylist()
     return pa.table({
         "lang": pa.array([left["lang"][0].as_py()] * len(at), pa.string()),
         "phrase": pa.array([text[i : i + k] for i, k in zip(at, size)], pa.binary()).cast(pa.string()),
-        "n": right["n"],
+        "fp": right["fp"], "other": right["other"], "f": right["f"],
     })
 
 
@@ -256,7 +264,7 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "l
     (lang, n): all words of a language.
 
     Null texts are empty and null languages ``und``. Texts are read whole and repeated rows count again; a word longer than a block
-    stays in one piece. Other columns are not read.
+    stays in one piece (up to 16 MB). Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
@@ -266,12 +274,15 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "l
     parts = 1 + words * 6 // PART
     hashes = blocks.mapInArrow(_hashes(parts, least), "part long, blk long, hashes binary, counts binary")
     bits = hashes.groupBy("part").applyInArrow(_frequent(least), "blk long, part long, bits binary")
-    pointers = materialize(blocks.groupBy("blk").cogroup(bits.groupBy("blk")).applyInArrow(_pointed(parts, longest), POINTERS), "pointers")
-    often = pointers.groupBy("fp").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).select("fp")
-    wanted = pointers.join(often, "fp", "left_semi").select("blk", "at", "size", "n")
-    read = blocks.groupBy("blk").cogroup(wanted.groupBy("blk")).applyInArrow(_read, "lang string, phrase string, n long")
-    found = read.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return materialize(found, "phrases"), totals
+    pointers = blocks.groupBy("blk").cogroup(bits.groupBy("blk")).applyInArrow(_pointed(parts, longest), POINTERS)
+    often = pointers.groupBy("fp", "other").agg(F.sum("n").alias("f"), F.min("pointer").alias("first"), F.max("pointer").alias("last"), F.max("size").alias("size")).filter(F.col("f") >= least)
+    often = materialize(often, "often")
+    ends = often.select("fp", "other", "f", "size", F.explode(F.array_distinct(F.array("first", "last"))).alias("p"))
+    ends = ends.select("fp", "other", "f", "size", F.shiftright("p", AT).alias("blk"), F.col("p").bitwiseAND((1 << AT) - 1).cast("int").alias("at"))
+    read = blocks.groupBy("blk").cogroup(ends.groupBy("blk")).applyInArrow(_read, "lang string, phrase string, fp long, other long, f long")
+    same = read.groupBy("fp", "other", "f").agg(F.min(F.struct("lang", "phrase")).alias("a"), F.max(F.struct("lang", "phrase")).alias("z"))
+    checked = F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.raise_error(F.lit("two phrases share both fingerprints")))
+    return materialize(same.select(checked.alias("a"), "f").select("a.*", "f"), "phrases"), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, best: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:
