@@ -1,14 +1,13 @@
-"""Outcome metrics, bootstrap, percentiles, shapes and contrasts."""
+"""Outcome metrics, percentiles, shapes and contrasts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import DRAWS, LABELS, MIN_FINITE_DRAWS, MIN_SUPPORT_ROWS, MIN_SUPPORT_WEEKS
+from tidemark.config import LABELS, MIN_SUPPORT_ROWS, MIN_SUPPORT_WEEKS
 from tidemark.functions.columns import count_if, ratio
 from tidemark.functions.ranks import prior_mass
-from tidemark.session import materialize
 
 GRID = ("direction", "tp", "sl", "horizon")
 MOVES = ("mfe_pct", "mae_pct", "time_to_mfe_ms", "time_to_mae_ms")
@@ -152,64 +151,6 @@ def midrank_frozen(df: DataFrame, model: DataFrame, keys, band: float = 0.01) ->
     return mid.join(total, keys).select(*keys, "qid", (F.col("ce") / F.col("te")).alias("event_percentile"), (F.col("cr") / F.col("tr")).alias("row_percentile"))
 
 
-# ---- bootstrap -----------------------------------------------------------------------
-
-
-def hash_slot(draw: Column, slot: Column, n: Column, seed: int) -> Column:
-    """Which block a slot of a draw takes: plain integer arithmetic, the same everywhere."""
-    x = F.pmod(draw * 1000003 + slot * 10007 + F.lit(seed), F.lit(2147483648))
-    for _ in range(3):
-        x = F.pmod(x * 1103515245 + 12345, F.lit(2147483648))
-    return F.pmod(F.call_function("shiftright", x, F.lit(8)), n)
-
-
-def block_weights(weeks: DataFrame, draws: int = DRAWS, seed: int = 3101) -> DataFrame:
-    """(week, draw, w): resamples of the week blocks with replacement, as multiplicities.
-
-    Weeks are numbered by time; their count is bounded by the calendar (52 a year).
-    """
-    n = weeks.select("week").distinct()
-    n = n.withColumn("i", F.row_number().over(Window.orderBy("week")) - 1)
-    size = n.agg(F.count(F.lit(1)).alias("size"))
-    slots = size.select("size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition("draw")
-    slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("int"))))
-    picked = slots.select("draw", hash_slot(F.col("draw").cast("long"), F.col("slot").cast("long"), F.col("size"), seed).alias("i"))
-    return picked.groupBy("draw", "i").agg(F.count(F.lit(1)).alias("w")).join(n, "i").select("week", "draw", "w")
-
-
-def block_bootstrap(rows: DataFrame, cell, draws: int = DRAWS, seed: int = 3101, label: str = "TP_FIRST") -> DataFrame:
-    """Rate of each cell minus the rate of all rows, with a 95 % interval over week resamples.
-
-    ``rows``: week, cell columns, label, censored. Rows are reduced to weekly sums first; only
-    those meet the draw table. At least 5 weeks and 950 finite draws are needed for an interval.
-    """
-    cell = list(cell)
-    done = ~F.col("censored")
-    sums = rows.groupBy("week", *cell).agg(count_if(done).alias("n"), count_if(done & (F.col("label") == label)).alias("x"))
-    sums = materialize(sums, "weekly-sums")  # cells x weeks rows, read five times below
-    base = sums.groupBy("week").agg(F.sum("n").alias("bn"), F.sum("x").alias("bx"))
-    w = block_weights(base, draws, seed)
-    drawn = sums.join(w, "week").groupBy("draw", *cell).agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("x") * F.col("w")).alias("x"))
-    bdraw = base.join(w, "week").groupBy("draw").agg(F.sum(F.col("bn") * F.col("w")).alias("bn"), F.sum(F.col("bx") * F.col("w")).alias("bx"))
-    diff = ratio(F.col("x"), F.col("n")) - ratio(F.col("bx"), F.col("bn"))
-    ci = (
-        drawn.join(bdraw, "draw")
-        .withColumn("d", diff)
-        .groupBy(*cell)
-        .agg(F.count("d").alias("finite_draws"), F.percentile("d", [0.025, 0.975]).alias("_q"))
-    )
-    total = base.agg(F.sum("bn").alias("bn"), F.sum("bx").alias("bx"))
-    point = sums.groupBy(*cell).agg(F.sum("n").alias("complete"), F.sum("x").alias("hits"), count_if(F.col("n") > 0).alias("week_blocks")).crossJoin(F.broadcast(total))
-    point = point.withColumn("increment", ratio(F.col("hits"), F.col("complete")) - ratio(F.col("bx"), F.col("bn"))).drop("bn", "bx")
-    ok = (F.col("week_blocks") >= MIN_SUPPORT_WEEKS) & (F.col("finite_draws") >= F.lit(MIN_FINITE_DRAWS * draws / 1000))
-    return (
-        point.join(ci, cell, "left")
-        .withColumn("ci_low", F.when(ok, F.col("_q")[0]))
-        .withColumn("ci_high", F.when(ok, F.col("_q")[1]))
-        .drop("_q")
-    )
-
-
 def supported(complete: Column, weeks: Column) -> Column:
     return (complete >= MIN_SUPPORT_ROWS) & (weeks >= MIN_SUPPORT_WEEKS)
 
@@ -270,22 +211,11 @@ def spearman(df: DataFrame, pairs, keys=()) -> DataFrame:
 
 
 def contrast(cohorts: DataFrame, comparisons: DataFrame, keys, metrics_) -> DataFrame:
-    """Effect a minus b per metric for a list of comparisons (comparison, a, b)."""
+    """Effect a minus b per metric for a declared list of comparisons (comparison, a, b, further columns)."""
     keys = list(keys)
     side = lambda n: cohorts.select(F.col("category").alias(n), *keys, F.col("complete").alias(f"{n}_complete"), F.col("week_blocks").alias(f"{n}_blocks"), *[F.col(m).alias(f"{n}_{m}") for m in metrics_])
-    j = comparisons.join(side("a"), "a").join(side("b"), ["b", *keys])
+    j = F.broadcast(comparisons).join(side("a"), "a").join(side("b"), ["b", *keys])
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"a_{m}") - F.col(f"b_{m}")).alias("effect")) for m in metrics_]))
     d = j.withColumn("c", cells)
     ok = supported(F.col("a_complete"), F.col("a_blocks")) & supported(F.col("b_complete"), F.col("b_blocks"))
-    return d.select("comparison", "a", "b", *keys, "c.*", "a_complete", "b_complete", "a_blocks", "b_blocks", ok.alias("supported"))
-
-
-def ols_slope(rows: DataFrame, keys, x: str, y: str) -> DataFrame:
-    """Slope per 0.1 of ``x`` from five sums; null for fewer than two rows or a constant x."""
-    X, Y = F.col(x), F.col(y)
-    s = rows.filter(X.isNotNull() & Y.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(X).alias("sx"), F.sum(X * X).alias("sxx"), F.sum(Y).alias("sy"), F.sum(X * Y).alias("sxy")
-    )
-    den = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    slope = F.when((F.col("n") >= 2) & (den > 1e-14), 0.1 * (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / den)
-    return s.withColumn("slope_per_point_one", slope).select(*keys, "n", "slope_per_point_one")
+    return d.select(*comparisons.columns, *keys, "c.*", "a_complete", "b_complete", "a_blocks", "b_blocks", ok.alias("supported"))

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.config import DAY, HORIZONS, TFS
+from tidemark.config import DAY, HORIZONS, HOUR, TFS
 from tidemark.functions.columns import bucket_left, long, percent_bucket, r, week_of
 from tidemark.operators import cohorts as H
 from tidemark.operators import confluence as X
 from tidemark.operators import context as C
 from tidemark.operators import outcomes as O
+from tidemark.operators import resampling as R
 from tidemark.operators import stats as S
 from tidemark.plans import q_confluence, q_levels, q_map, q_stats
 from tidemark.plans.base import T0, bars_e
 from tidemark.plans.q_confluence import repriced
 from tidemark.plans.q_levels import outcome_sql, plain_events
 from tidemark.plans.registry import build, cte, query
+from tidemark.session import materialize
 
 GRID = S.GRID
 HALF = T0 + 20 * DAY
@@ -36,102 +38,202 @@ def outcomes15(spark, sf):
 cte("pat", f"SELECT T, 'ALL:' || T AS event_id, pattern, T // 604800000 AS week, CASE WHEN T < {HALF} THEN 'H1' ELSE 'H2' END AS quarter, v FROM wide_p")
 
 
-def members_sql() -> str:
-    n = lambda ch: f"(4 - length(replace(pattern, '{ch}', '')))"
-    clear = "pattern NOT LIKE '%M%'"
-    parts = ["SELECT *, 'all' AS category, 'baseline' AS family, 'BOTH' AS interpretation FROM pat", "SELECT *, 'pattern/' || pattern, 'exact_pattern', 'BOTH' FROM pat",
-             "SELECT *, 'conflict/' || substr(pattern, 1, 2) || '/' || substr(pattern, 3, 2), 'conflict', 'BOTH' FROM pat"]
-    for side, ch, other, way in (("support", "S", "R", "LONG"), ("resistance", "R", "S", "SHORT")):
-        parts.append(f"SELECT *, '{side}/count/' || {n(ch)}, 'sign_count', '{way}' FROM pat WHERE {clear}")
-        parts.append(f"SELECT *, '{side}/unopposed/' || {n(ch)}, 'unopposed_count', '{way}' FROM pat WHERE {clear} AND {n(other)} = 0")
-        for sub in H.SUBSETS:
-            on = " AND ".join(f"substr(pattern, {i + 1}, 1) = '{ch}'" for i in sub)
-            name = "+".join(TFS[i] for i in sub)
-            parts.append(f"SELECT *, '{side}/aligned/{name}', 'hierarchy_inclusive', '{way}' FROM pat WHERE {on}")
-            parts.append(f"SELECT *, '{side}/only/{name}', 'hierarchy_exclusive', '{way}' FROM pat WHERE {on} AND {clear} AND {n(ch)} = {len(sub)}")
-    return " UNION ALL ".join(parts)
-
-
-cte("memb", members_sql())
-
-
-def members(spark, sf):
-    return H.memberships(states(spark, sf).select("event_id", "pattern", "week", "quarter"), H.pattern_cohorts(F.col("pattern")))
+BLOCK = DAY  # the tape spans thirty days, and an interval needs five blocks
+FLOWS = ("joint_quantity", *H.DELTAS)
+FIELDS = (*FLOWS, *[f"{tf}__imbalance" for tf in TFS])
+ONE = "list_sort(list_distinct(quantile_cont({}, [0.25, 0.5, 0.75])))"
+N = "(4 - length(replace({0}, {1}, '')))"
+
+cte("ways", "SELECT * FROM (VALUES ('support', 'S', 'R', 'LONG'), ('resistance', 'R', 'S', 'SHORT')) v(side, ch, oth, way)")
+cte("subs", "SELECT * FROM (VALUES " + ", ".join(f"('{'+'.join(TFS[i] for i in x)}', '{''.join('X' if i in x else '.' for i in range(4))}', {len(x)})" for x in H.SUBSETS) + ") v(name, mask, size)")
+cte("adds", "SELECT * FROM (VALUES " + ", ".join(f"('{'+'.join(b)}', '{''.join('X' if t in b else '.' for t in TFS)}', '{x}', {TFS.index(x) + 1})" for b, x in H.ADDITIONS) + ") v(base, mask, added, i)")
+cte("reg_c", "SELECT DISTINCT T, side, combination, timeframe_count FROM components")
+cte("cfr", f"""SELECT s.T, 'ALL:' || s.T AS event_id, s.T // {BLOCK} AS block, CASE WHEN s.T < {HALF} THEN 'H1' ELSE 'H2' END AS quarter, imbalance_pattern AS ip, a1_pattern AS ap, {' || '.join(q_confluence.SIGN.format(c=f'b{i}') for i in range(4))} AS bp,
+  coalesce((SELECT max(timeframe_count) FROM reg_c k WHERE k.T = s.T AND side = 'support'), 0) AS zs, coalesce((SELECT max(timeframe_count) FROM reg_c k WHERE k.T = s.T AND side = 'resistance'), 0) AS zr,
+  round(joint_quantity, 6) AS f0, CASE WHEN round(support_quantity, 6) > 0 THEN round((round(support_buy, 6) - round(support_sell, 6)) / round(support_quantity, 6), 5) END AS f1,
+  CASE WHEN round(resistance_quantity, 6) > 0 THEN round((round(resistance_buy, 6) - round(resistance_sell, 6)) / round(resistance_quantity, 6), 5) END AS f2, round(joint_buy - joint_sell, 6) AS f3,
+  {', '.join(f'abs(round(m{i}, 9)) AS f{4 + i}' for i in range(4))}
+  FROM signs s LEFT JOIN (SELECT * FROM flow_e WHERE "window" = 1 AND flow_status = 'AVAILABLE') f ON f.T = s.T // 3600000 * 3600000""")
+cte("cfm", f"SELECT {', '.join(ONE.format(f'f{i}') + f' AS c{i}' for i in range(8))} FROM cfr")
+cte("cfb", f"SELECT cfr.*, {', '.join(f'CASE WHEN f{i} IS NULL THEN -1 ELSE len(list_filter(c{i}, lambda x: x < f{i})) END AS q{i}, len(c{i}) AS t{i}' for i in range(8))} FROM cfr, cfm")
+cte("descr", "SELECT event_id, block, quarter, 'imbalance' AS d, ip AS p FROM cfb UNION ALL SELECT event_id, block, quarter, 'A1', ap FROM cfb UNION ALL SELECT event_id, block, quarter, 'A2', bp FROM cfb")
+cte("sided", f"SELECT b.*, w.*, CASE side WHEN 'support' THEN zs ELSE zr END AS z, {N.format('ip', 'ch')} AS n, {N.format('ip', 'oth')} AS o FROM cfb b, ways w")
+_K = "event_id, block, quarter"
+_OVER = "CASE WHEN z >= 2 THEN 'overlap' ELSE 'no_overlap' END"
+_ALL4 = "ip = repeat(ch, 4)"
+MEMBERS = [
+    f"SELECT {_K}, 'all' AS category, 'baseline' AS family, 'BOTH' AS interpretation FROM cfb",
+    f"SELECT {_K}, d || '/pattern/' || p, 'exact_pattern', 'BOTH' FROM descr",
+    f"SELECT {_K}, d || '/' || side || '/count/' || {N.format('p', 'ch')}, 'sign_count', way FROM descr, ways WHERE NOT contains(p, 'M')",
+    f"SELECT {_K}, d || '/' || side || '/unopposed/' || {N.format('p', 'ch')}, 'unopposed_count', way FROM descr, ways WHERE NOT contains(p, 'M') AND NOT contains(p, oth)",
+    f"SELECT {_K}, d || '/' || side || '/aligned/' || name, 'hierarchy_inclusive', way FROM descr, ways, subs WHERE regexp_full_match(p, replace(mask, 'X', ch))",
+    f"SELECT {_K}, d || '/' || side || '/only/' || name, 'hierarchy_exclusive', way FROM descr, ways, subs WHERE regexp_full_match(p, replace(mask, 'X', ch)) AND NOT contains(p, 'M') AND {N.format('p', 'ch')} = size",
+    f"SELECT {_K}, 'conflict/' || substr(ip, 1, 2) || '/' || substr(ip, 3, 2), 'conflict', 'BOTH' FROM cfb",
+    f"""SELECT {_K}, 'incremental/' || side || '/' || base || '/add_' || added || '/' || label, 'incremental', way FROM (SELECT *, unnest(CASE substr(ip, i, 1) WHEN ch THEN ['agrees'] WHEN 'N' THEN ['neutral', 'not_agrees'] WHEN oth THEN ['conflicts', 'not_agrees'] ELSE ['missing'] END) AS label
+      FROM cfb, ways, adds WHERE regexp_full_match(ip, replace(mask, 'X', ch)))""",
+    f"SELECT {_K}, 'direction_space/' || side || '/agrees/' || {_OVER}, 'direction_space', way FROM sided WHERE n >= 2 AND o = 0",
+    f"SELECT {_K}, 'direction_space/' || side || '/conflicts/' || {_OVER}, 'direction_space', way FROM sided WHERE n > 0 AND o > 0",
+    f"SELECT {_K}, 'zone/' || side || '/count/' || z, 'zone_count', way FROM sided",
+    f"SELECT {_K}, 'zone/' || s.side || '/combo/' || combination, 'zone_combination', way FROM sided s JOIN reg_c k ON k.T = s.T AND k.side = s.side",
+    f"SELECT {_K}, 'joint/' || side || '/sign' || n || '/zone' || z, 'direction_x_space', way FROM sided",
+    f"SELECT {_K}, 'spatial_increment/' || side || '/sign' || n || '/' || {_OVER}, 'spatial_increment', way FROM sided",
+    f"SELECT {_K}, 'spatial_exact/' || side || '/' || ip || '/' || {_OVER}, 'spatial_exact', way FROM sided WHERE NOT contains(ip, 'M')",
+    f"SELECT {_K}, 'quantity/' || side || '/count' || n || '/Q' || q0, 'quantity', way FROM sided",
+    *[f"SELECT {_K}, 'delta/' || side || '/{f}/Q' || q{i + 1}, 'delta_exploratory', way FROM sided WHERE {_ALL4}" for i, f in enumerate(H.DELTAS)],
+    *[f"SELECT {_K}, 'magnitude/' || side || '/{tf}/Q' || q{4 + i}, 'magnitude', way FROM sided WHERE {_ALL4}" for i, tf in enumerate(TFS)],
+    f"""SELECT {_K}, 'magnitude/' || side || '/joint/' || CASE WHEN least(q4, q5, q6, q7) < 0 THEN 'missing' WHEN greatest(q4, q5, q6, q7) = 0 THEN 'weak' WHEN q4 = t4 AND q5 = t5 AND q6 = t6 AND q7 = t7 THEN 'strong'
+      WHEN least(q4, q5, q6, q7) > 0 AND q4 < t4 AND q5 < t5 AND q6 < t6 AND q7 < t7 THEN 'moderate' ELSE 'mixed' END, 'magnitude', way FROM sided WHERE {_ALL4}""",
+]
+cte("memb", " UNION ALL ".join(MEMBERS))
+
+
+def frame(spark, sf):
+    """Aligned native states with three sign patterns, overlaps, hourly flow and strength buckets; and the cut counts."""
+    d = X.zone_overlap(X.sign_patterns(X.align(q_confluence.clock15(spark, sf), q_confluence.native(spark, sf))))
+    q = {f"{s}_{c}": r(f"{s}_{c}") for s in ("support", "resistance", "joint") for c in ("quantity", "buy", "sell")}
+    share = lambda s: F.when(q[f"{s}_quantity"] > 0, r((q[f"{s}_buy"] - q[f"{s}_sell"]) / q[f"{s}_quantity"], 5))
+    flow = q_map.flow_e(spark, sf).filter("window = 1 and flow_status = 'AVAILABLE'").select(
+        F.col("T").alias("_h"), q["joint_quantity"].alias("joint_quantity"), share("support").alias(H.DELTAS[0]), share("resistance").alias(H.DELTAS[1]), r(F.col("joint_buy") - F.col("joint_sell")).alias(H.DELTAS[2])
+    )
+    d = d.join(flow, F.col("T") - F.pmod("T", F.lit(HOUR)) == F.col("_h"), "left")
+    marks = [F.concat_ws(":", "symbol", F.col("T").cast("string")).alias("event_id"), F.floor(F.col("T") / BLOCK).alias("block"), F.when(F.col("T") < HALF, "H1").otherwise("H2").alias("quarter")]
+    names = [f"{n}_pattern" for n in H.DESCRIPTORS] + [f"{s}_overlap_count" for s in X.SIDES]
+    regions = [F.col(f"`{s}_overlap_{'+'.join(x)}`") for s in X.SIDES for x in X.SUBSETS]
+    d = materialize(d.select("T", *marks, *names, *regions, *FLOWS, *[F.abs(r(f"`{tf}__imbalance`", 9)).alias(f"{tf}__imbalance") for tf in TFS]), "frame")
+    model = materialize(C.fit_quantiles(d, FIELDS, 4, distinct=True), "cuts")
+    tops = {m.field: len(m.cuts or []) for m in model.collect()}  # one number per field
+    return C.apply_buckets(d, model, FIELDS, "left"), tops
+
+
+_WRITTEN: dict[tuple, tuple] = {}  # tables that several queries of one session read: written once per input folder
+
+
+def codes(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "codes")
+    if key not in _WRITTEN:
+        d, tops = frame(spark, sf)
+        _WRITTEN[key] = materialize(H.facet_codes(d, {f: F.lit(n).cast("long") for f, n in tops.items()}), "codes"), tops
+    return _WRITTEN[key]
+
+
+def sums(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "sums")
+    if key not in _WRITTEN:
+        c, tops = codes(spark, sf)
+        o = outcomes15(spark, sf).select("event_id", *GRID, "label", "censored", "mfe_pct", "mae_pct")
+        _WRITTEN[key] = materialize(H.cohort_sums(c, o, GRID), "cohort-sums"), tops
+    return _WRITTEN[key]
 
 
 @query("cohort_masks", build("SELECT category, family, interpretation, count(*) AS n FROM memb GROUP BY ALL"))
 def cohort_masks(spark, sf):
-    return members(spark, sf).groupBy("category", "family", "interpretation").agg(F.count(F.lit(1)).alias("n"))
-
-
-def rate(l):
-    return f"count(*) FILTER (WHERE NOT censored AND label = '{l}') / nullif(count(*) FILTER (WHERE NOT censored), 0)::DOUBLE"
-
+    """States of every cohort, counted per code first."""
+    c, _ = codes(spark, sf)
+    n = c.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    names = H.unfold(c.select("code", *H.CODE).dropDuplicates(["code"]))
+    return names.join(n, "code").groupBy("category", "family", "interpretation").agg(F.sum("n").alias("n"))
 
-cte("coh", f"""SELECT category, family, interpretation, period, direction, tp, sl, horizon, count(*) AS n, count(*) FILTER (WHERE NOT censored) AS complete, count(*) FILTER (WHERE censored) AS censored_n, count(DISTINCT week) FILTER (WHERE NOT censored) AS week_blocks,
-  {rate('TP_FIRST')} AS tp_rate, {rate('SL_FIRST')} AS sl_rate, avg(mfe_pct) FILTER (WHERE NOT censored) AS mfe
-  FROM (SELECT m.category, m.family, m.interpretation, m.week, unnest(['ALL', m.quarter]) AS period, o.* FROM memb m JOIN out_c15 o USING (event_id) WHERE m.family <> 'conflict') GROUP BY ALL""")
 
+SIX = {"TP_FIRST": "tp", "SL_FIRST": "sl_", "NEITHER": "ne", "AMBIGUOUS": "am", "mfe_pct": "mf", "mae_pct": "ma"}
+_X = ", ".join(f"count(*) FILTER (WHERE NOT censored AND label = '{m}')::DOUBLE AS {c}" for m, c in list(SIX.items())[:4]) + ", " + ", ".join(f"coalesce(sum({m}) FILTER (WHERE NOT censored), 0) AS {c}" for m, c in list(SIX.items())[4:])
+_C = "category, family, interpretation"
+_G = "direction, tp, sl, horizon"
+# Grid columns are renamed here, where tp and sl are also names of sums.
+cte("cohw", f"SELECT {_C}, block, quarter, direction, o.tp AS gt, o.sl AS gs, horizon, count(*) AS n, count(*) FILTER (WHERE NOT censored) AS done, {_X} FROM memb m JOIN out_c15 o USING (event_id) GROUP BY ALL")
+cte("coh", f"""SELECT {_C}, period, direction, gt, gs, horizon, sum(n)::BIGINT AS n, sum(done)::BIGINT AS complete, count(DISTINCT block) FILTER (WHERE done > 0) AS blocks, {', '.join(f'sum({c}) / nullif(sum(done), 0)::DOUBLE AS {c}' for c in SIX.values())}
+  FROM (SELECT *, unnest(['ALL', quarter]) AS period FROM cohw) GROUP BY ALL""")
 
-def cohort_rows(spark, sf):
-    return H.cohort_table(members(spark, sf).filter("family <> 'conflict'"), outcomes15(spark, sf).select("event_id", *GRID, "label", "censored", "mfe_pct", "mae_pct"), GRID)
 
-
-@query("cohort_summary", build("""SELECT category, period, direction, tp, sl, horizon, n, complete, censored_n AS censored, week_blocks, complete >= 200 AND week_blocks >= 5 AS supported, round(tp_rate, 6) AS "TP_FIRST", round(mfe, 6) AS mfe_pct FROM coh"""))
+@query("cohort_summary", build(f"""SELECT category, family, interpretation, period, direction, gt AS tp, gs AS sl, horizon, n, complete, n - complete AS censored, blocks AS week_blocks, complete >= 200 AND blocks >= 5 AS supported, {', '.join(f'round({c}, 6) AS "{m}"' for m, c in SIX.items())} FROM coh"""))
 def cohort_summary(spark, sf):
-    return cohort_rows(spark, sf).select("category", "period", *GRID, "n", "complete", "censored", "week_blocks", "supported", r("TP_FIRST").alias("TP_FIRST"), r("mfe_pct").alias("mfe_pct"))
+    t = H.cohort_table(sums(spark, sf)[0], GRID)
+    return t.select("category", "family", "interpretation", "period", *GRID, "n", "complete", "censored", "week_blocks", "supported", *[r(m).alias(m) for m in SIX])
 
 
-DECLARED = [d for d in H.declared() if d[1] != "conflict"]
-cte("declared", "SELECT * FROM (VALUES " + ", ".join(str(d) for d in DECLARED) + ") v(category, family, interpretation)")
+cte("declared", "SELECT * FROM (VALUES " + ", ".join(str(d) for d in H.declared(dict.fromkeys(FIELDS, 3))) + ") v(category, family, interpretation) WHERE NOT (" + " OR ".join(
+    f"starts_with(category, '{at}') AND TRY_CAST(regexp_extract(category, 'Q(-?[0-9]+)$', 1) AS INTEGER) > (SELECT len(c{i}) FROM cfm)"
+    for i, f in enumerate(FIELDS) for at in (["quantity/"] if i == 0 else [f"{k}/{s}/{f.removesuffix('__imbalance')}/" for k in (["delta"] if i < 4 else ["magnitude"]) for s in ("support", "resistance")])) + ")")
 
 
-@query("cohort_empty_cells", build("""SELECT d.category, p.period, coalesce(c.n, 0) AS n, coalesce(c.complete, 0) AS complete, coalesce(c.complete >= 200 AND c.week_blocks >= 5, false) AS supported FROM declared d CROSS JOIN (VALUES ('ALL'), ('H1'), ('H2')) p(period)
-  LEFT JOIN coh c ON c.category = d.category AND c.period = p.period AND c.direction = 'LONG' AND c.tp = 0.003::DOUBLE AND c.sl = 0.003::DOUBLE AND c.horizon = 16"""))
+@query("cohort_empty_cells", build("""SELECT d.*, p.period, g.direction, g.gt AS tp, g.gs AS sl, g.horizon, coalesce(c.n, 0) AS n, coalesce(c.complete, 0) AS complete, coalesce(c.complete >= 200 AND c.blocks >= 5, false) AS supported FROM declared d CROSS JOIN (VALUES ('ALL'), ('H1'), ('H2')) p(period)
+  CROSS JOIN (SELECT DISTINCT direction, gt, gs, horizon FROM coh) g LEFT JOIN coh c ON c.category = d.category AND c.period = p.period AND c.direction = g.direction AND c.gt = g.gt AND c.gs = g.gs AND c.horizon = g.horizon"""))
 def cohort_empty_cells(spark, sf):
-    """All predeclared cohorts appear, also those no state falls into."""
-    o = outcomes15(spark, sf).filter("direction = 'LONG' and tp = 0.003D and sl = 0.003D and horizon = 16").select("event_id", "label", "censored", "mfe_pct", "mae_pct")
-    t = H.cohort_table(members(spark, sf).filter("family <> 'conflict'"), o, [])
-    names = spark.createDataFrame(DECLARED, "category string, family string, interpretation string")
-    full = H.with_empty(t, names, spark.createDataFrame([("ALL",), ("H1",), ("H2",)], "period string"))
-    return full.select("category", "period", "n", "complete", "supported")
+    """All predeclared cohorts appear in all cells, also those no state falls into."""
+    s, tops = sums(spark, sf)
+    names = spark.createDataFrame(H.declared(tops), "category string, family string, interpretation string")
+    cells = O.grid_frame(spark.createDataFrame([("ALL",), ("H1",), ("H2",)], "period string"), HORIZONS["15m"])
+    full = H.with_empty(H.cohort_table(s, GRID), names, cells)
+    return full.select("category", "family", "interpretation", "period", *GRID, "n", "complete", "supported")
+
+
+def _pairs_sql() -> str:
+    """Comparisons as rules over names, with the highest quantity bucket looked up."""
+    q = "(SELECT len(c0) FROM cfm)"
+    rows = [c for c in H.comparisons(dict.fromkeys(FIELDS, 9)) if c[3] != "quantity"]
+    fixed = "SELECT * FROM (VALUES " + ", ".join(str(c) for c in rows) + ") v(comparison, a, b, family)"
+    return fixed + f" UNION ALL SELECT x || '/high_minus_low', x || '/Q' || {q}, x || '/Q0', 'quantity' FROM (SELECT 'quantity/' || side || '/count' || unnest(range(5)) AS x FROM ways)"
+
+
+cte("cmp", _pairs_sql())
+_ON = "a.period = b.period AND a.direction = b.direction AND a.gt = b.gt AND a.gs = b.gs AND a.horizon = b.horizon"
+cte("effects", f"""SELECT v.comparison, v.family, v.a, v.b, a.period, a.direction, a.gt, a.gs, a.horizon, m AS metric, CASE m {' '.join(f"WHEN '{m}' THEN a.{c} - b.{c}" for m, c in SIX.items())} END AS effect, a.complete AS a_complete, b.complete AS b_complete, a.blocks AS a_blocks, b.blocks AS b_blocks,
+  a.complete >= 200 AND b.complete >= 200 AND a.blocks >= 5 AND b.blocks >= 5 AS supported
+  FROM cmp v JOIN coh a ON a.category = v.a JOIN coh b ON b.category = v.b AND {_ON}, (SELECT unnest([{', '.join(f"'{m}'" for m in SIX)}]) AS m)""")
+def effects(spark, sf):
+    s, tops = sums(spark, sf)
+    pairs = spark.createDataFrame(H.comparisons(tops), "comparison string, a string, b string, family string")
+    return S.contrast(H.cohort_table(s, GRID), pairs, ["period", *GRID], H.METRICS)
 
 
-COMPARE = [("all_four_support", "pattern/SSSS", "all"), ("support_4_vs_all", "support/count/4", "all"), ("support_2_vs_3", "support/count/2", "support/count/3"), ("day_vs_hour", "support/aligned/1d", "support/aligned/1h")]
-cte("cmp", "SELECT * FROM (VALUES " + ", ".join(str(c) for c in COMPARE) + ") v(comparison, a, b)")
-cte("effects", """SELECT v.comparison, a.category AS a, b.category AS b, a.period, a.direction, a.tp, a.sl, a.horizon, m AS metric, CASE m WHEN 'TP_FIRST' THEN a.tp_rate - b.tp_rate WHEN 'SL_FIRST' THEN a.sl_rate - b.sl_rate ELSE a.mfe - b.mfe END AS effect, a.complete AS a_complete, b.complete AS b_complete,
-  a.complete >= 200 AND b.complete >= 200 AND a.week_blocks >= 3 AND b.week_blocks >= 3 AS ok3, a.complete >= 200 AND b.complete >= 200 AND a.week_blocks >= 5 AND b.week_blocks >= 5 AS supported
-  FROM cmp v JOIN coh a ON a.category = v.a JOIN coh b ON b.category = v.b AND a.period = b.period AND a.direction = b.direction AND a.tp = b.tp AND a.sl = b.sl AND a.horizon = b.horizon, (SELECT unnest(['TP_FIRST', 'SL_FIRST', 'mfe_pct']) AS m)""")
+@query("cohort_contrast", build("""SELECT comparison, family, period, direction, gt AS tp, gs AS sl, horizon, metric, round(effect, 6) + 0.0::DOUBLE AS effect, a_complete, b_complete, a_blocks, b_blocks, supported FROM effects"""))
+def cohort_contrast(spark, sf):
+    """All predeclared comparisons in all periods, cells and metrics."""
+    return effects(spark, sf).select("comparison", "family", "period", *GRID, "metric", r("effect").alias("effect"), "a_complete", "b_complete", "a_blocks", "b_blocks", "supported")
 
 
-def effects(spark, sf):
-    cmp_ = spark.createDataFrame(COMPARE, "comparison string, a string, b string")
-    return S.contrast(cohort_rows(spark, sf), cmp_, ["period", *GRID], ["TP_FIRST", "SL_FIRST", "mfe_pct"])
+def contrast_intervals(spark, sf):
+    s, tops = sums(spark, sf)
+    pairs = spark.createDataFrame(H.comparisons(tops), "comparison string, a string, b string, family string")
+    blocks = s.groupBy("category", *GRID, "block").agg(*[F.sum(c).cast("double").alias(c) for c in ("complete", *H.METRICS)])
+    return R.paired(materialize(blocks, "block-sums"), "category", GRID, pairs, "block", ["complete", *H.METRICS], H.METRICS)
 
 
-@query("cohort_contrast", build("SELECT comparison, period, direction, tp, sl, horizon, metric, round(effect, 6) + 0.0::DOUBLE AS effect, a_complete, b_complete, supported FROM effects"))
-def cohort_contrast(spark, sf):
-    return effects(spark, sf).select("comparison", "period", *GRID, "metric", r("effect").alias("effect"), "a_complete", "b_complete", "supported")
+@query("cohort_intervals")
+def cohort_intervals(spark, sf):
+    """The comparisons over the whole period with intervals from draws that both sides share. SQL would need millions of drawn rows;
+    the operator is held against it in block_bootstrap and against draws in plain Python in the tests."""
+    return contrast_intervals(spark, sf).select("comparison", "family", *GRID, "metric", *[r(c).alias(c) for c in ("estimate", "ci_low", "ci_high")], "finite_draws")
+
+
+@query("evidence_intervals")
+def evidence_intervals(spark, sf):
+    """Per comparison and metric, the cells whose interval lies above or below zero."""
+    c = contrast_intervals(spark, sf)
+    count = lambda cond: F.count(F.when(cond, 1))
+    return c.groupBy("comparison", "metric").agg(
+        F.count(F.lit(1)).alias("grids"), count(F.col("ci_low").isNotNull()).alias("with_interval"), count(r("ci_low", 9) > 0).alias("ci_positive"), count(r("ci_high", 9) < 0).alias("ci_negative")
+    )
 
 
-@query("quarter_stability", build("""SELECT comparison, direction, tp, sl, horizon, metric, round(max(effect) FILTER (WHERE period = 'ALL'), 6) + 0.0::DOUBLE AS pooled_effect, count(DISTINCT period) FILTER (WHERE period <> 'ALL') AS quarters, count(*) FILTER (WHERE period <> 'ALL' AND supported) AS supported_quarters,
-  round(max(abs(effect)) FILTER (WHERE period <> 'ALL') / nullif(sum(abs(effect)) FILTER (WHERE period <> 'ALL'), 0), 5) AS largest_quarter_share FROM effects WHERE metric = 'mfe_pct' GROUP BY ALL"""))
+@query("quarter_stability", build("""SELECT comparison, direction, gt AS tp, gs AS sl, horizon, metric, round(max(effect) FILTER (WHERE period = 'ALL'), 6) + 0.0::DOUBLE AS pooled_effect, count(DISTINCT period) FILTER (WHERE period <> 'ALL') AS quarters, count(*) FILTER (WHERE period <> 'ALL' AND supported) AS supported_quarters,
+  CASE WHEN sum(abs(round(effect, 9))) FILTER (WHERE period <> 'ALL') > 0 THEN round(max(abs(round(effect, 9))) FILTER (WHERE period <> 'ALL') / sum(abs(round(effect, 9))) FILTER (WHERE period <> 'ALL'), 5) END AS largest_quarter_share FROM effects GROUP BY ALL"""))
 def quarter_stability(spark, sf):
-    s = H.quarter_stability(effects(spark, sf).filter("metric = 'mfe_pct'"), ["comparison", *GRID, "metric"])
+    s = H.quarter_stability(effects(spark, sf).withColumn("effect", r("effect", 9)), ["comparison", *GRID, "metric"])
     return s.select("comparison", *GRID, "metric", r("pooled_effect").alias("pooled_effect"), "quarters", "supported_quarters", r("largest_quarter_share", 5).alias("largest_quarter_share"))
 
 
-@query("stability_counts", build("""SELECT comparison, metric, count(*) AS comparisons, count(*) FILTER (WHERE a.supported AND b.supported) AS supported_both, count(*) FILTER (WHERE sign(round(a.effect, 9)) * sign(round(b.effect, 9)) > 0) AS same_sign
-  FROM (SELECT * FROM effects WHERE period = 'H1') a JOIN (SELECT * FROM effects WHERE period = 'H2') b USING (comparison, direction, tp, sl, horizon, metric) GROUP BY ALL"""))
+@query("stability_counts", build("""SELECT a.family, metric, count(*) AS comparisons, count(*) FILTER (WHERE a.supported AND b.supported) AS supported_both, count(*) FILTER (WHERE sign(round(a.effect, 9)) * sign(round(b.effect, 9)) > 0) AS same_sign
+  FROM (SELECT * FROM effects WHERE period = 'H1') a JOIN (SELECT * FROM effects WHERE period = 'H2') b USING (comparison, direction, gt, gs, horizon, metric) GROUP BY ALL"""))
 def stability_counts(spark, sf):
     e = effects(spark, sf).withColumn("effect", r("effect", 9))
-    return H.stability_counts(e.filter("period = 'H1'"), e.filter("period = 'H2'"), ["comparison", *GRID, "metric"], ["comparison", "metric"])
+    return H.stability_counts(e.filter("period = 'H1'"), e.filter("period = 'H2'"), ["comparison", "family", *GRID, "metric"], ["family", "metric"])
 
 
-@query("evidence_ranges", build("SELECT comparison, metric, count(*) AS grids, count(*) FILTER (WHERE supported) AS supported_count, round(min(effect), 6) + 0.0::DOUBLE AS minimum_effect, round(max(effect), 6) + 0.0::DOUBLE AS maximum_effect, min(a_complete) AS minimum_a_complete FROM effects WHERE period = 'ALL' GROUP BY ALL"))
+@query("evidence_ranges", build("""SELECT comparison, metric, count(*) AS grids, count(*) FILTER (WHERE supported) AS supported_count, round(min(effect), 6) + 0.0::DOUBLE AS minimum_effect, round(max(effect), 6) + 0.0::DOUBLE AS maximum_effect, min(a_complete) AS minimum_a_complete, min(b_complete) AS minimum_b_complete,
+  count(*) FILTER (WHERE round(effect, 9) > 0) AS positive, count(*) FILTER (WHERE round(effect, 9) < 0) AS negative FROM effects WHERE period = 'ALL' GROUP BY ALL"""))
 def evidence_ranges(spark, sf):
-    e = H.evidence_ranges(effects(spark, sf).filter("period = 'ALL'"), ["comparison", "metric"])
-    return e.select("comparison", "metric", "grids", "supported_count", r("minimum_effect").alias("minimum_effect"), r("maximum_effect").alias("maximum_effect"), "minimum_a_complete")
+    e = H.evidence_ranges(effects(spark, sf).filter("period = 'ALL'").withColumn("effect", r("effect", 9)), ["comparison", "metric"])
+    return e.select("comparison", "metric", "grids", "supported_count", r("minimum_effect").alias("minimum_effect"), r("maximum_effect").alias("maximum_effect"), "minimum_a_complete", "minimum_b_complete", "positive", "negative")
 
 
 IMB = [f"{tf}__imbalance" for tf in TFS]

@@ -10,6 +10,7 @@ from tidemark.operators import context as C
 from tidemark.operators import joins as J
 from tidemark.operators import outcomes as O
 from tidemark.operators import profiles as P
+from tidemark.operators import resampling as R
 from tidemark.operators import stats as S
 from tidemark.operators import visits as V
 from tidemark.plans import q_levels, q_map, q_volume
@@ -440,18 +441,24 @@ def weights_sql(src: str, draws: int, seed: int) -> str:
 
 
 DRAWS = 1000
-cte("boot_rows", "SELECT * FROM rows_l WHERE direction = 'LONG' AND tp = 0.005::DOUBLE AND sl = 0.005::DOUBLE AND horizon = 2")
-cte("boot_w", weights_sql("boot_rows", DRAWS, 3101))
-
-
-@query("block_bootstrap", build("""WITH s AS (SELECT week, vb, count(*) FILTER (WHERE NOT censored) AS n, count(*) FILTER (WHERE NOT censored AND label = 'TP_FIRST') AS x FROM boot_rows GROUP BY ALL),
-  d AS (SELECT vb, draw, sum(n * w) AS n, sum(x * w) AS x FROM s JOIN boot_w USING (week) GROUP BY ALL), b AS (SELECT draw, sum(n * w) AS bn, sum(x * w) AS bx FROM s JOIN boot_w USING (week) GROUP BY ALL),
-  c AS (SELECT vb, quantile_cont(x / nullif(n, 0)::DOUBLE - bx / nullif(bn, 0)::DOUBLE, [0.025, 0.975]) AS q FROM d JOIN b USING (draw) GROUP BY vb)
-  SELECT vb AS volatility_bucket, sum(n)::BIGINT AS complete, count(*) FILTER (WHERE n > 0) AS week_blocks, round(sum(x) / sum(n)::DOUBLE - (SELECT sum(x) / sum(n)::DOUBLE FROM s), 6) AS increment, round(any_value(q[1]), 6) AS ci_low, round(any_value(q[2]), 6) AS ci_high FROM s JOIN c USING (vb) GROUP BY vb"""))
+SIX = {"TP_FIRST": "x1", "SL_FIRST": "x2", "NEITHER": "x3", "AMBIGUOUS": "x4", "mfe_pct": "x5", "mae_pct": "x6"}
+cte("boot_w", weights_sql("rows_l", DRAWS, 3101))
+_SUMS = ", ".join(f"count(*) FILTER (WHERE NOT censored AND label = '{m}')::DOUBLE AS {c}" for m, c in list(SIX.items())[:4]) + ", " + ", ".join(f"coalesce(sum({m}) FILTER (WHERE NOT censored), 0) AS {c}" for m, c in list(SIX.items())[4:])
+cte("boot_s", f"SELECT week, b, direction, tp, sl, horizon, count(*) FILTER (WHERE NOT censored)::DOUBLE AS n, {_SUMS} FROM (SELECT *, unnest([vb, 'ALL']) AS b FROM rows_l) GROUP BY ALL")
+cte("boot_d", f"SELECT b, direction, tp, sl, horizon, draw, sum(n * w) AS n, {', '.join(f'sum({c} * w) AS {c}' for c in SIX.values())} FROM boot_s JOIN boot_w USING (week) GROUP BY ALL")
+cte("boot_p", f"SELECT b, direction, tp, sl, horizon, count(*) FILTER (WHERE n > 0) AS blocks, sum(n) AS n, {', '.join(f'sum({c}) / nullif(sum(n), 0) AS {c}' for c in SIX.values())} FROM boot_s GROUP BY ALL")
+_CELL = "a.direction = z.direction AND a.tp = z.tp AND a.sl = z.sl AND a.horizon = z.horizon"
+cte("boot_q", f"SELECT a.b, a.direction, a.tp, a.sl, a.horizon, {', '.join(f'count(a.{c} / nullif(a.n, 0) - z.{c} / nullif(z.n, 0)) AS k{c}, quantile_cont(a.{c} / nullif(a.n, 0) - z.{c} / nullif(z.n, 0), [0.025, 0.975]) AS q{c}' for c in SIX.values())} FROM boot_d a JOIN boot_d z ON a.b <> 'ALL' AND z.b = 'ALL' AND a.draw = z.draw AND {_CELL} GROUP BY ALL")
+
+
+@query("block_bootstrap", build(" UNION ALL ".join(f"""SELECT a.b AS volatility_bucket, a.direction, a.tp, a.sl, a.horizon, '{m}' AS metric, a.n::BIGINT AS complete, a.blocks AS week_blocks, round(a.{c} - z.{c}, 6) + 0.0::DOUBLE AS increment,
+  CASE WHEN a.blocks >= 5 AND k{c} >= 950 THEN round(q{c}[1], 6) + 0.0::DOUBLE END AS ci_low, CASE WHEN a.blocks >= 5 AND k{c} >= 950 THEN round(q{c}[2], 6) + 0.0::DOUBLE END AS ci_high, CASE WHEN a.blocks >= 5 THEN k{c} ELSE 0 END AS finite_draws
+  FROM boot_p a JOIN boot_p z ON a.b <> 'ALL' AND z.b = 'ALL' AND {_CELL} JOIN boot_q q ON q.b = a.b AND q.direction = a.direction AND q.tp = a.tp AND q.sl = a.sl AND q.horizon = a.horizon""" for m, c in SIX.items())))
 def block_bootstrap(spark, sf):
-    rows = rows_l(spark, sf).filter("direction = 'LONG' and tp = 0.005D and sl = 0.005D and horizon = 2")
-    b = S.block_bootstrap(rows, ["volatility_bucket"])
-    return b.select("volatility_bucket", "complete", "week_blocks", r("increment").alias("increment"), r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"))
+    """Every volatility bucket against all rows: six metrics, all cells."""
+    rows = rows_l(spark, sf).withColumn("bucket", F.explode(F.array("volatility_bucket", F.lit("ALL"))))
+    b = R.against_all(rows, "bucket", S.GRID, "week", list(SIX))
+    return b.select(F.col("bucket").alias("volatility_bucket"), *S.GRID, "metric", "complete", "week_blocks", r("estimate").alias("increment"), r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"), "finite_draws")
 
 
 @query("cuts_ventile_support", build("""WITH c AS (SELECT list_distinct(quantile_cont(volatility, [x / 20.0 for x in range(1, 20)])) AS v, quantile_cont(volatility, [0.25, 0.5, 0.75]) AS q, coalesce(quantile_cont(recent_return, 0.9) FILTER (WHERE recent_return > 0.01::DOUBLE), 1) AS pc FROM ctx_l)
@@ -496,7 +503,17 @@ def volume_composition(spark, sf):
     return p.select(*S.GRID, r(F.col("4_a") - F.col("1_a")).alias("ambiguity_high_minus_low"), r(F.col("4_y") - F.col("1_y")).alias("tp_high_minus_low"))
 
 
-@query("ols_slope", build("SELECT direction, tp, sl, horizon, count(*) AS n, round(0.1::DOUBLE * regr_slope(mfe_pct, volatility), 4) + 0.0::DOUBLE AS slope_per_point_one FROM rows_l WHERE NOT censored GROUP BY ALL"))
+_SL = "0.1::DOUBLE * (sxy - sx * sy / n) / CASE WHEN n >= 2 AND sxx - sx * sx / n > 1e-14 THEN sxx - sx * sx / n END"
+cte("slope_s", "SELECT direction, tp, sl, horizon, week, count(*)::DOUBLE AS n, sum(volatility) AS sx, sum(volatility * volatility) AS sxx, sum(mfe_pct) AS sy, sum(volatility * mfe_pct) AS sxy FROM rows_l WHERE NOT censored GROUP BY ALL")
+cte("slope_w", weights_sql("(SELECT * FROM rows_l WHERE NOT censored)", DRAWS, 3101))
+
+
+@query("ols_slope", build(f"""WITH p AS (SELECT direction, tp, sl, horizon, sum(n) AS n, count(*) AS blocks, sum(sx) AS sx, sum(sxx) AS sxx, sum(sy) AS sy, sum(sxy) AS sxy FROM slope_s GROUP BY ALL),
+  d AS (SELECT direction, tp, sl, horizon, draw, sum(n * w) AS n, sum(sx * w) AS sx, sum(sxx * w) AS sxx, sum(sy * w) AS sy, sum(sxy * w) AS sxy FROM slope_s JOIN slope_w USING (week) GROUP BY ALL),
+  q AS (SELECT direction, tp, sl, horizon, count({_SL}) AS k, quantile_cont({_SL}, [0.025, 0.975]) AS q FROM d GROUP BY ALL)
+  SELECT p.direction, p.tp, p.sl, p.horizon, p.n::BIGINT AS n, blocks AS week_blocks, round({_SL}, 4) + 0.0::DOUBLE AS slope_per_point_one, CASE WHEN blocks >= 5 AND k >= 950 THEN round(q[1], 4) + 0.0::DOUBLE END AS ci_low, CASE WHEN blocks >= 5 AND k >= 950 THEN round(q[2], 4) + 0.0::DOUBLE END AS ci_high,
+  CASE WHEN blocks >= 5 THEN k ELSE 0 END AS finite_draws FROM p JOIN q USING (direction, tp, sl, horizon)"""))
 def ols_slope(spark, sf):
-    s = S.ols_slope(rows_l(spark, sf).filter("not censored"), S.GRID, "volatility", "mfe_pct")
-    return s.select(*S.GRID, "n", r("slope_per_point_one", 4).alias("slope_per_point_one"))
+    """Slope of the favourable excursion over volatility in every cell, with an interval from resampled weeks."""
+    s = R.ols_slope(rows_l(spark, sf).filter("not censored"), S.GRID, "week", "volatility", "mfe_pct")
+    return s.select(*S.GRID, "n", "week_blocks", r("estimate", 4).alias("slope_per_point_one"), r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"), "finite_draws")
