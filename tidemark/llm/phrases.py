@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-BLOCK = 4 << 20  # bytes of text in a block, about
+BLOCK = 2 << 20  # bytes of text in a block, about
 PART = 4 << 20  # bytes of text whose hashes meet in one part, about
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t" + BREAKS, bytes(range(97, 123)) + b" " + b"\n" * len(BREAKS))
