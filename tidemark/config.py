@@ -29,6 +29,8 @@ DETECTOR_CONFIGS = (
     ("B", 2),
     ("C", 0.003),
     ("C", 0.005),
+    ("D", 50.0),
+    ("D", 100.0),
 )
 MINUTE_ABS_TOL = 0.01
 MINUTE_REL_TOL = 0.01

@@ -266,24 +266,54 @@ def detect_d(profile: DataFrame, window_ms: int, multiple: float = 1.5) -> DataF
     return _candidates(d, "D", multiple).join(keep, [*KEYS, "kind", "price", "source_timestamp", "known_at"])
 
 
+def detect_d_windows(trades: DataFrame, clocks: DataFrame, width: float, multiple: float = 1.5) -> DataFrame:
+    """Detector D over the trades of fixed windows, one per step of each clock (symbol, tf, step).
+
+    Only windows that are bars of a clock count, so no level comes from an open window. Its parameter is the bin width.
+    """
+    from tidemark.operators.profiles import decimal_bin
+
+    w = float(width)
+    t = trades.select("symbol", "timestamp", "quantity", decimal_bin(F.col("price"), str(width)).alias("bin")).join(F.broadcast(clocks), "symbol")  # a row per symbol and timeframe
+    start = F.col("timestamp") - F.pmod("timestamp", F.col("step"))
+    exact = F.sum(F.col("quantity").cast("decimal(20,8)")).cast("decimal(20,8)")  # ties with the mean are common
+    bins = t.groupBy(*KEYS, start.alias("window_start"), "step", "bin").agg(exact.alias("quantity"))
+    window = Window.partitionBy(*KEYS, "window_start")  # bins of one window
+    total, n = F.sum("quantity").over(window), F.count(F.lit(1)).over(window)
+    d = bins.withColumn("_total", total.cast("decimal(22,8)")).withColumn("_n", n.cast("decimal(10,0)"))
+    d = d.filter((F.col("_total") > 0) & (F.col("quantity") * F.col("_n") >= F.col("_total") * F.lit(str(multiple)).cast("decimal(6,3)")))
+    return d.select(
+        *KEYS, F.lit("D").alias("detector"), F.lit(w).alias("parameter"), F.lit("NEUTRAL").alias("kind"), ((F.col("bin") * w + (F.col("bin") + 1) * w) / 2).alias("price"),
+        F.col("window_start").alias("source_timestamp"), (F.col("window_start") + F.col("step")).alias("known_at"), F.col("window_start").alias("dependency_start"),
+        content_id(F.lit("D"), F.lit(round(w * 1e6)), *KEYS, "window_start", "bin").alias("candidate_id"),
+    )
+
+
 REGISTRY: dict[str, Callable[..., DataFrame]] = {"A": detect_a, "B": detect_b, "C": detect_c}
+FROM_TRADES = {"D": detect_d_windows}
 
 
 def register(name: str, detector: Callable[..., DataFrame]) -> None:
     """Add a level detector: a function of candles (and one parameter) to the level schema."""
-    if name in REGISTRY:
+    if name in REGISTRY or name in FROM_TRADES:
         raise ValueError(f"detector {name} exists")
     REGISTRY[name] = detector
 
 
-def detect(candles: DataFrame, name: str, parameter=None) -> DataFrame:
+def detect(candles: DataFrame, name: str, parameter=None, trades: DataFrame | None = None) -> DataFrame:
+    """Levels of one detector; those that read trades take their windows from the clocks of the candles."""
+    if name in FROM_TRADES:
+        if trades is None:
+            raise ValueError(f"detector {name} needs trades")
+        clocks = candles.groupBy(*KEYS).agg(F.max(F.col("end") - F.col("open_time")).alias("step"))
+        return FROM_TRADES[name](trades, clocks, parameter)
     if name not in REGISTRY:
         raise ValueError(f"unknown detector {name}")
-    return REGISTRY[name](candles) if parameter is None else REGISTRY[name](candles, parameter)
+    return REGISTRY[name](candles) if parameter is None else REGISTRY[name](candles, int(parameter) if name == "B" else parameter)
 
 
-def detect_all(candles: DataFrame, configs) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), [detect(candles, n, int(p) if n == "B" else p) for n, p in configs])
+def detect_all(candles: DataFrame, configs, trades: DataFrame | None = None) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), [detect(candles, n, p, trades) for n, p in configs])
 
 
 def catalog(levels: DataFrame) -> DataFrame:

@@ -203,6 +203,21 @@ def zone_volume(interactions: DataFrame, profile_: DataFrame, window_ms: int, st
     )
 
 
+def window_status(times: DataFrame, profile_: DataFrame, window_ms: int, start: int, spans: DataFrame) -> DataFrame:
+    """(symbol, observed_at, status): may the last two windows before a time be used? The tape has not started, a span touches them, one of
+    them has no trades, or both are there."""
+    T = F.col("observed_at")
+    hit = windows_hit(times, ["symbol", "observed_at"], T - 2 * window_ms, T, spans, 2 * window_ms).withColumn("_hit", F.lit(True))
+    asked = times.withColumn("bucket", F.explode(F.array(T - window_ms, T - 2 * window_ms)))
+    there = asked.join(profile_.select("symbol", "bucket").distinct(), ["symbol", "bucket"], "left_semi").groupBy("symbol", "observed_at").agg(F.count(F.lit(1)).alias("_n"))
+    d = times.join(hit, ["symbol", "observed_at"], "left").join(there, ["symbol", "observed_at"], "left")
+    status = (
+        F.when(T - 2 * window_ms < start, "MISSING_TRADE_COVERAGE").when(F.col("_hit"), "QUARANTINED_TRADE_COVERAGE")
+        .when(F.coalesce("_n", F.lit(0)) < 2, "MISSING_TRADE_COVERAGE").otherwise("AVAILABLE")
+    )
+    return d.select("symbol", "observed_at", status.alias("status"))
+
+
 def rolling_vap(bins: DataFrame, lookback: int, step: int) -> DataFrame:
     """Volume per bin over [T - lookback, T) as a change log: valid from T until ``valid_to``.
 

@@ -2,28 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import HORIZONS, HOUR
+from tidemark.config import DAY, FIXED_WIDTHS, HORIZONS, HOUR, LABELS, STEPS, WIDTHS
 from tidemark.functions.columns import r
 from tidemark.operators import detectors as D
-from tidemark.plans import q_stats  # noqa: F401
-from tidemark.plans.base import bars_e, publication, tape_e
-from tidemark.plans.experiment import experiment
-from tidemark.plans.q_levels import outcome_sql, visit_sql
-from tidemark.plans.q_stats import metric_out, metric_sql
+from tidemark.operators import profiles as P
+from tidemark.operators.stats import GRID
+from tidemark.plans.base import T0, bars_e, publication, tape_e
+from tidemark.plans.experiment import run_grid
+from tidemark.plans.grid import configurations
+from tidemark.plans.q_levels import b_sql, c_sql, extrema_sql, level_sql, outcome_sql
+from tidemark.plans.q_quality import quarantine
 from tidemark.plans.registry import build, cte, query
-
-cte("ev_e1d", "SELECT symbol || ':' || end_time AS event_id, symbol, idx, end_time AS T, close AS P FROM bars_e1d")
-cte("out_e1d", outcome_sql("ev_e1d", "bars_e1d", 86_400_000, HORIZONS["1d"]))
-cte("vis_e1d", visit_sql("lev_e1d", "bars_e1d", "0.022"))
-
-
-@query("run_experiment", build(metric_sql("(SELECT 'A' AS config, o.* FROM vis_e1d v JOIN out_e1d o ON o.T = v.observed_at)", "config, direction, tp, sl, horizon")))
+from tidemark.session import materialize
+
+DETECTORS = (("A", None), ("B", 1), ("B", 2), ("C", 0.003), ("C", 0.005), ("D", 0.5), ("D", 1.0))  # bins of D at the scale of the tape's prices
+CLOCKS = ("1h", "1d")
+STRIDE = 6
+
+
+def _grid_sql() -> None:
+    """Levels of all detectors and clocks in one table, all widths, visits by brute force."""
+    parts = []
+    for tf in CLOCKS:
+        bars, step = f"bars_e{tf}", STEPS[tf]
+        for w in (1, 2):
+            cte(f"gx_{tf}_{w}", extrema_sql(bars, w))
+        rules = [("A", "NULL", level_sql(bars)), ("B", "1", b_sql(f"gx_{tf}_1").replace("round(high, 6)", "high").replace("round(low, 6)", "low")), ("B", "2", b_sql(f"gx_{tf}_2").replace("round(high, 6)", "high").replace("round(low, 6)", "low")), ("C", "0.003", c_sql(bars, "0.003")), ("C", "0.005", c_sql(bars, "0.005"))]
+        for w in ("0.5", "1.0"):
+            size = round(float(w) * 100_000_000)
+            rules.append(("D", w, f"""SELECT 'NEUTRAL' AS kind, (bin * {w}::DOUBLE + (bin + 1) * {w}::DOUBLE) / 2 AS price, w AS source_timestamp, w + {step} AS known_at FROM (SELECT *, sum(q) OVER (PARTITION BY w) AS total, count(*) OVER (PARTITION BY w) AS n
+              FROM (SELECT ts // {step} * {step} AS w, (CAST(CAST(price AS VARCHAR) AS DECIMAL(20,8)) * 100000000)::BIGINT // {size} AS bin, sum((CAST(quantity AS DECIMAL(20,8)) * 100000000)::BIGINT) AS q FROM trade_e GROUP BY ALL)) WHERE 2 * q * n >= 3 * total"""))
+        parts += [f"SELECT '{tf}' AS tf, '{d}' AS detector, {p}::DOUBLE AS parameter, kind, price, source_timestamp, known_at FROM ({q})" for d, p, q in rules]
+    cte("g_lev", " UNION ALL ".join(parts))
+    widths = " UNION ALL ".join(f"SELECT '{tf}' AS tf, unnest([{', '.join(map(str, (*FIXED_WIDTHS, WIDTHS[tf])))}])::DOUBLE AS width" for tf in CLOCKS)
+    cte("g_zone", f"SELECT row_number() OVER () AS zone, l.*, width, price * (1 - width) AS lower, price * (1 + width) AS upper FROM g_lev l JOIN ({widths}) USING (tf)")
+    for tf in CLOCKS:  # a visit starts with a touch after a bar that left, or with the first touch
+        cte(f"g_in_{tf}", f"""SELECT zone, z.detector, z.parameter, z.width, b.idx, b.end_time, b.high >= lower AND b.low <= upper AS touch, b.close > upper OR b.close < lower AS leave
+          FROM g_zone z JOIN bars_e{tf} b ON z.tf = '{tf}' AND b.open_time >= z.known_at""")
+        cte(f"g_vis_{tf}", f"""SELECT '{tf}' AS tf, detector, parameter, width, min(end_time) FILTER (WHERE touch) AS T FROM (SELECT *, coalesce(sum(leave::INT) OVER (PARTITION BY zone ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM g_in_{tf})
+          GROUP BY zone, detector, parameter, width, seg HAVING bool_or(touch)""")
+        cte(f"g_ev_{tf}", f"SELECT symbol || ':' || end_time AS event_id, symbol, idx, end_time AS T, close AS P, (row_number() OVER (ORDER BY idx) - 1) % {STRIDE} = 0 AS control FROM bars_e{tf}")
+        cte(f"g_out_{tf}", outcome_sql(f"(SELECT event_id, symbol, idx, T, P FROM g_ev_{tf})", f"bars_e{tf}", STEPS[tf], HORIZONS[tf]))
+    cte("g_vis", " UNION ALL ".join(f"SELECT * FROM g_vis_{tf}" for tf in CLOCKS))
+    cte("g_w", "SELECT tf, detector, parameter, width, T, count(*) AS w FROM g_vis GROUP BY ALL")
+    cte("g_out", " UNION ALL ".join(f"SELECT '{tf}' AS tf, o.*, e.control FROM g_out_{tf} o JOIN g_ev_{tf} e ON e.event_id = o.event_id" for tf in CLOCKS))
+    cte("g_stat", f"""SELECT t.T, CASE WHEN t.T - {2 * HOUR} < {T0 + DAY} THEN 'm' WHEN EXISTS (SELECT 1 FROM quar q WHERE t.T - {2 * HOUR} < q.e AND t.T > q.s) THEN 'q'
+      WHEN EXISTS (SELECT 1 FROM prof_e p WHERE p.bucket = t.T - {HOUR}) AND EXISTS (SELECT 1 FROM prof_e p WHERE p.bucket = t.T - {2 * HOUR}) THEN 'a' ELSE 'm' END AS s FROM (SELECT DISTINCT T FROM g_w) t""")
+
+
+def _count_sql(w: str, where: str = "true") -> str:
+    return ", ".join([f"coalesce(sum({w}) FILTER (WHERE {where}), 0)::BIGINT AS total", f"coalesce(sum({w}) FILTER (WHERE {where} AND NOT censored), 0)::BIGINT AS complete"]
+                     + [f"coalesce(sum({w}) FILTER (WHERE {where} AND NOT censored AND label = '{x}'), 0)::BIGINT AS {x.lower()}" for x in LABELS])
+
+
+_grid_sql()
+_NAMES = ("total", "complete", *[x.lower() for x in LABELS])
+_ID = "tf, detector, parameter, width"
+
+
+@query("run_experiment", build(f"""WITH c AS (SELECT l.*, width FROM (SELECT DISTINCT tf, d.* FROM (VALUES {', '.join(f"('{tf}')" for tf in CLOCKS)}) t(tf), (VALUES {', '.join(f"('{d}', {'NULL' if p is None else float(p)}::DOUBLE)" for d, p in DETECTORS)}) d(detector, parameter)) l
+    JOIN ({' UNION ALL '.join(f"SELECT '{tf}' AS tf, unnest([{', '.join(map(str, (*FIXED_WIDTHS, WIDTHS[tf])))}])::DOUBLE AS width" for tf in CLOCKS)}) USING (tf)),
+  x AS (SELECT w.detector, w.parameter, w.width, o.tf, o.direction, o.tp, o.sl, o.horizon, {_count_sql('w.w')} FROM g_w w JOIN g_out o ON o.tf = w.tf AND o.T = w.T GROUP BY ALL),
+  k AS (SELECT tf, direction, tp, sl, horizon, {_count_sql('1', 'control')} FROM g_out GROUP BY ALL),
+  v AS (SELECT {_ID}, count(*) FILTER (WHERE s = 'a') AS visits_available, count(*) FILTER (WHERE s = 'm') AS visits_missing, count(*) FILTER (WHERE s = 'q') AS visits_quarantined FROM g_vis JOIN g_stat USING (T) GROUP BY ALL)
+  SELECT c.tf, c.detector, c.parameter, c.width, k.direction, k.tp, k.sl, k.horizon, {', '.join(f'coalesce(x.{n}, 0) AS event_{n}, k.{n} AS control_{n}' for n in _NAMES)},
+    round(x.tp_first / nullif(x.complete, 0)::DOUBLE, 6) AS event_tp_first_fraction, round(k.tp_first / nullif(k.complete, 0)::DOUBLE, 6) AS control_tp_first_fraction,
+    round(x.tp_first / nullif(x.complete, 0)::DOUBLE - k.tp_first / nullif(k.complete, 0)::DOUBLE, 6) + 0.0::DOUBLE AS difference, coalesce(visits_available, 0) AS visits_available, coalesce(visits_missing, 0) AS visits_missing, coalesce(visits_quarantined, 0) AS visits_quarantined
+  FROM c JOIN k ON k.tf = c.tf LEFT JOIN x ON x.tf = c.tf AND x.detector = c.detector AND x.parameter IS NOT DISTINCT FROM c.parameter AND x.width = c.width AND x.direction = k.direction AND x.tp = k.tp AND x.sl = k.sl AND x.horizon = k.horizon
+  LEFT JOIN v ON v.tf = c.tf AND v.detector = c.detector AND v.parameter IS NOT DISTINCT FROM c.parameter AND v.width = c.width"""))
 def run_experiment(spark, sf):
-    m = experiment(bars_e(spark, sf, "1d"), [("A", None)], HORIZONS["1d"])
-    return metric_out(m, "config", "direction", "tp", "sl", "horizon")
+    """Seven detectors x six widths on two timeframes in one plan, against control events, with the state of the volume before each visit."""
+    bars = materialize(reduce(DataFrame.unionByName, [bars_e(spark, sf, tf) for tf in CLOCKS]), "bars")
+    grid = materialize(configurations(bars.select("symbol").distinct(), CLOCKS, DETECTORS), "configurations")
+    tape = tape_e(spark, sf)
+    volume = (P.profile(tape, HOUR), HOUR, T0 + DAY, quarantine(spark, sf))
+    g = run_grid(bars, grid, DETECTORS, tape, STRIDE, coverage=volume)
+    parts = [f"{x}_{n}" for n in _NAMES for x in ("event", "control")]
+    return g.select("tf", "detector", "parameter", "width", *GRID, *parts, *[r(c).alias(c) for c in ("event_tp_first_fraction", "control_tp_first_fraction", "difference")], "visits_available", "visits_missing", "visits_quarantined")
 
 
 @query("union_all", build("SELECT src, count(*) AS n FROM (SELECT 'm' AS src FROM pub_m UNION ALL SELECT 'd' FROM pub_d) GROUP BY src"))

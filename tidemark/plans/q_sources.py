@@ -245,7 +245,7 @@ _GRID = ", ".join(
 
 @query(
     "config_grid",
-    f"""SELECT symbol, detector, parameter, width, sha256(symbol || '|' || detector || '|' || coalesce(CAST(CAST(round(parameter * 1000) AS BIGINT) AS VARCHAR), '~') || '|' || CAST(round(width * 10000) AS BIGINT)) AS configuration_id
+    f"""SELECT symbol, '1h' AS tf, detector, parameter, width, sha256(symbol || '|1h|' || detector || '|' || coalesce(CAST(CAST(round(parameter * 1000) AS BIGINT) AS VARCHAR), '~') || '|' || CAST(round(width * 10000) AS BIGINT)) AS configuration_id
     FROM (SELECT DISTINCT event_type AS symbol FROM events), (VALUES {_GRID}) d(detector, parameter),
     (SELECT unnest([{', '.join(map(str, FIXED_WIDTHS + (WIDTHS['1h'],)))}])::DOUBLE AS width)""",
 )
