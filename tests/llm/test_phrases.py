@@ -91,9 +91,12 @@ def test_block_with_five_fingerprints_for_everything(monkeypatch):
     right = pa.table({"part": parts.astype(np.int64), "bits": [np.packbits(np.ones(n, bool)).tobytes() for n in sizes]})
     got = Counter()
     out = phrases._pointed(2, 5)(left, right)
-    assert len(set(out["fp"].to_pylist())) <= 5 and len(set(zip(out["fp"].to_pylist(), out["other"].to_pylist()))) == len(out)
-    at = [p & ((1 << phrases.AT) - 1) for p in out["pointer"].to_pylist()]
-    for r in phrases._read(left, out.append_column("at", pa.array(at)).append_column("f", out["n"])).to_pylist():
+    entries = np.concatenate([np.frombuffer(x, phrases.ENTRY) for x in out["entries"].to_pylist()])
+    assert len(set(entries["fp"].tolist())) <= 5 and len({(e["fp"], e["other"]) for e in entries}) == len(entries)
+    often = phrases._often(1)(out)
+    at = [p & ((1 << phrases.AT) - 1) for p in often["one"].to_pylist()]
+    assert often["one"].equals(often["two"])
+    for r in phrases._read(left, often.append_column("at", pa.array(at))).to_pylist():
         got[r["lang"], r["phrase"]] += r["f"]
     assert got == {(lang, " ".join(ws)): a for (lang, ws), a in counts(rows, 5)[0].items()}
 

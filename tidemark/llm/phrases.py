@@ -8,8 +8,8 @@ a block (mod 2^64) gives the fingerprint of every run of words by one subtractio
    each hash: frequent or not. A hash that two share can only let too much through.
 2. A longer phrase can be frequent only if all its pairs are. Those that pass go out as fingerprints with their count in the block
    and a pointer to one occurrence. In the block all occurrences of a fingerprint are compared byte by byte, and those that
-   differ go out apart, with a fingerprint from another base that comes along: 128 bits tell phrases apart between blocks.
-3. Of those that reach the least count the first and the last occurrence of all are read at their pointers and compared;
+   differ go out apart, with a fingerprint from another base that comes along: 96 bits tell phrases apart between blocks.
+3. Of those that reach the least count two occurrences from different blocks are read at their pointers and compared;
    no other phrase is ever materialised.
 
 Scores come from the table of frequent phrases alone, as every part of a frequent phrase is frequent.
@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 BLOCK = 2 << 20  # bytes of text in a block, about
-PART = 4 << 20  # bytes of text whose hashes meet in one part, about
+PART = 16 << 20  # bytes of text whose hashes meet in one part, about
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t" + BREAKS, bytes(range(97, 123)) + b" " + b"\n" * len(BREAKS))
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses mod 2^64
 AT = 24  # bits of a place in a block
 BLOCKS = "blk long, lang string, body binary, own long, n_words long"
-POINTERS = "fp long, other long, n long, pointer long, size int"
+POINTERS = "part long, blk long, entries binary"
+ENTRY = np.dtype([("fp", "<u8"), ("other", "<u4"), ("n", "<u4"), ("at", "<u4"), ("size", "<u4")])  # a phrase of a block
 
 
 def normal(raw: bytes) -> np.ndarray:
@@ -240,13 +241,41 @@ def _pointed(parts: int, longest: int):
                 others.setdefault((int(fp[i]), g.bytes[s[i] : s[i] + size[i]].tobytes()), []).append(i)
             extra = np.array([x[0] for x in others.values()], np.int64)  # one occurrence of each
             at = np.concatenate([one, extra])
-            out.append((fp[at], g.fingerprints(first[at], n, BASES[1]), np.concatenate([count, np.array([len(x) for x in others.values()], np.int64)]), s[at], size[at]))
-        fp, other, n, at, size = (np.concatenate(c) for c in zip(*out))
+            entries = np.zeros(len(at), ENTRY)
+            entries["fp"], entries["other"], entries["at"], entries["size"] = fp[at], g.fingerprints(first[at], n, BASES[1]) >> np.uint64(32), s[at], size[at]
+            entries["n"] = np.concatenate([count, np.array([len(x) for x in others.values()], np.int64)])
+            out.append(entries)
+        entries = np.concatenate(out)
+        part = (entries["fp"] >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        rows = [entries[x].tobytes() for x in np.split(order, starts[1:])] if len(found) else []
+        return pa.table({"part": found.astype(np.int64), "blk": np.full(len(found), blk, np.int64), "entries": pa.array(rows, pa.binary())})
+
+    return point
+
+
+def _often(least: int):
+    def judge(t: pa.Table) -> pa.Table:
+        """Phrases of one part that reach the least count, with two occurrences from anywhere (by hash, so that no block is asked for all)."""
+        rows = [np.frombuffer(x.as_py(), ENTRY) for x in t["entries"]]
+        e = np.concatenate(rows)
+        pointer = (np.repeat(t["blk"].to_numpy(), [len(r) for r in rows]) << AT) + e["at"]
+        anywhere = (pointer.astype(np.uint64) ^ e["fp"]) * np.uint64(BASES[0]) >> np.uint64(20)
+        order = np.lexsort((anywhere, e["other"], e["fp"]))
+        e, pointer = e[order], pointer[order]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["fp"][1:] != e["fp"][:-1]) | (e["other"][1:] != e["other"][:-1])
+        at = np.flatnonzero(new)
+        f = np.add.reduceat(e["n"].astype(np.int64), at)
+        end = np.append(at[1:], len(e)) - 1
+        ok = f >= least
         return pa.table({
-            "fp": fp.view(np.int64), "other": other.view(np.int64), "n": n.astype(np.int64), "pointer": (blk << AT) + at.astype(np.int64), "size": size.astype(np.int32),
+            "fp": e["fp"][at][ok].view(np.int64), "other": e["other"][at][ok].astype(np.int64), "f": f[ok],
+            "one": pointer[at][ok], "two": pointer[end][ok], "size": e["size"][at][ok].astype(np.int32),
         })
 
-    return point
+    return judge
 
 
 def _read(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -275,9 +304,8 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "l
     hashes = blocks.mapInArrow(_hashes(parts, least), "part long, blk long, hashes binary, counts binary")
     bits = hashes.groupBy("part").applyInArrow(_frequent(least), "blk long, part long, bits binary")
     pointers = blocks.groupBy("blk").cogroup(bits.groupBy("blk")).applyInArrow(_pointed(parts, longest), POINTERS)
-    often = pointers.groupBy("fp", "other").agg(F.sum("n").alias("f"), F.min("pointer").alias("first"), F.max("pointer").alias("last"), F.max("size").alias("size")).filter(F.col("f") >= least)
-    often = materialize(often, "often")
-    ends = often.select("fp", "other", "f", "size", F.explode(F.array_distinct(F.array("first", "last"))).alias("p"))
+    often = materialize(pointers.groupBy("part").applyInArrow(_often(least), "fp long, other long, f long, one long, two long, size int"), "often")
+    ends = often.select("fp", "other", "f", "size", F.explode(F.array_distinct(F.array("one", "two"))).alias("p"))
     ends = ends.select("fp", "other", "f", "size", F.shiftright("p", AT).alias("blk"), F.col("p").bitwiseAND((1 << AT) - 1).cast("int").alias("at"))
     read = blocks.groupBy("blk").cogroup(ends.groupBy("blk")).applyInArrow(_read, "lang string, phrase string, fp long, other long, f long")
     same = read.groupBy("fp", "other", "f").agg(F.min(F.struct("lang", "phrase")).alias("a"), F.max(F.struct("lang", "phrase")).alias("z"))
