@@ -60,8 +60,8 @@ def op2(spark, sf):
 @query("op7_suffix_array")
 def op7(spark, sf):
     """Bytes in strings of 400 bytes that occur more than once, removed from every document."""
-    out = suffix.without_repeats(table(spark, sf, "documents"), with_text=False)
-    return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+    out = suffix.without_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", "cut.kept_text")
 
 
 @query("op8_quality_rules")
