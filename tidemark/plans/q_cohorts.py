@@ -341,24 +341,37 @@ def event_weight_matrix(spark, sf):
     return deep(spark, sf).filter("facet = 'ALL'").select("family", "bucket", "event_id", "weight")
 
 
-cte("fam_out", "SELECT f.*, o.direction, o.tp, o.sl, o.horizon, o.label, o.censored, o.mfe_pct FROM fam f JOIN out_e o USING (event_id) WHERE o.horizon = 8")
+cte("fam_out", "SELECT f.*, o.direction, o.tp, o.sl, o.horizon, o.label, o.censored, o.mfe_pct, o.mae_pct FROM fam f JOIN out_e o USING (event_id)")
 
 
-@query("deepdive_summary", build("""SELECT family, facet, facet_value, bucket, direction, tp, sl, count(*) AS measurement_count, count(DISTINCT event_id) AS unique_event_count, round(count(*) FILTER (WHERE NOT censored AND label = 'TP_FIRST') / nullif(count(*) FILTER (WHERE NOT censored), 0), 6) AS tp_first_rate,
-  round(count(DISTINCT event_id) FILTER (WHERE NOT censored AND label = 'TP_FIRST') / nullif(count(DISTINCT event_id) FILTER (WHERE NOT censored), 0), 6) AS event_balanced_tp_first_rate FROM fam_out GROUP BY ALL"""))
+def facet_outcomes(spark, sf):
+    o = q_levels.outcomes_e(spark, sf).select("event_id", *GRID, "label", "censored", "mfe_pct", "mae_pct", "time_to_mfe_ms", "time_to_mae_ms")
+    return materialize(deep(spark, sf), "facets").join(o, "event_id")
+
+
+FACET = ("family", "facet", "facet_value", "bucket")
+_F = "family, facet, facet_value, bucket, direction, tp, sl, horizon"
+_BAL = "count(DISTINCT event_id) FILTER (WHERE NOT censored AND label = '{}') / nullif(count(DISTINCT event_id) FILTER (WHERE NOT censored), 0)"
+
+
+@query("deepdive_summary", build(f"""WITH x AS (SELECT {_F}, count(*) AS n, count(DISTINCT event_id) AS e, count(*) FILTER (WHERE NOT censored) AS done, count(*) FILTER (WHERE NOT censored AND label = 'TP_FIRST') AS h, {_BAL.format('TP_FIRST')} AS bt, {_BAL.format('SL_FIRST')} AS bs FROM fam_out GROUP BY ALL)
+  SELECT {_F}, n AS measurement_count, e AS unique_event_count, round(h / nullif(done, 0)::DOUBLE, 6) AS tp_first_rate, round(bt, 6) AS event_balanced_tp_first_rate, round(bs, 6) AS event_balanced_sl_first_rate,
+    round(h / nullif(done, 0)::DOUBLE - sum(h) OVER b / nullif(sum(done) OVER b, 0)::DOUBLE, 6) + 0.0::DOUBLE AS increment_vs_facet FROM x WINDOW b AS (PARTITION BY family, facet, facet_value, direction, tp, sl, horizon)"""))
 def deepdive_summary(spark, sf):
-    o = q_levels.outcomes_e(spark, sf).filter("horizon = 8").select("event_id", *GRID, "label", "censored", "mfe_pct", "mae_pct", "time_to_mfe_ms", "time_to_mae_ms")
-    keys = ("family", "facet", "facet_value", "bucket", "direction", "tp", "sl")
-    m = S.metrics(deep(spark, sf).join(o, "event_id"), keys, "weight")
-    return m.select(*keys, "measurement_count", "unique_event_count", r("tp_first_rate").alias("tp_first_rate"), r("event_balanced_tp_first_rate").alias("event_balanced_tp_first_rate"))
+    """Every facet and bucket in every cell and horizon, with its rate against all buckets of the facet value."""
+    keys = [*FACET, *GRID]
+    m = S.metrics(facet_outcomes(spark, sf), keys, "weight").withColumn("_h", F.col("tp_first_rate") * F.col("complete_measurement_count"))
+    base = m.groupBy(*[k for k in keys if k != "bucket"]).agg((F.sum("_h") / F.nullif(F.sum("complete_measurement_count"), F.lit(0))).alias("_base"))
+    m = m.join(base, [k for k in keys if k != "bucket"]).withColumn("increment_vs_facet", F.col("tp_first_rate") - F.col("_base"))
+    return m.select(*keys, "measurement_count", "unique_event_count", *[r(c).alias(c) for c in ("tp_first_rate", "event_balanced_tp_first_rate", "event_balanced_sl_first_rate", "increment_vs_facet")])
 
 
-@query("weighted_movement", build("SELECT family, bucket, direction, round(avg(mfe_pct) FILTER (WHERE NOT censored), 4) AS mfe_mean, round(median(mfe_pct) FILTER (WHERE NOT censored), 4) AS mfe_median FROM fam_out WHERE facet = 'ALL' AND tp = 0.003::DOUBLE AND sl = 0.003::DOUBLE GROUP BY ALL"))
+@query("weighted_movement", build(f"SELECT {_F}, round(avg(mfe_pct), 4) AS mfe_mean, round(median(mfe_pct), 4) AS mfe_median, round(avg(mae_pct), 4) AS mae_mean, round(median(mae_pct), 4) AS mae_median FROM fam_out WHERE NOT censored GROUP BY ALL"))
 def weighted_movement(spark, sf):
-    o = q_levels.outcomes_e(spark, sf).filter("horizon = 8 and tp = 0.003D and sl = 0.003D and not censored").select("event_id", "direction", "mfe_pct")
-    d = deep(spark, sf).filter("facet = 'ALL'").join(o, "event_id")
+    """Excursions both ways of every facet and bucket in every cell and horizon, weighted by measurements."""
     w = F.col("weight")
-    return d.groupBy("family", "bucket", "direction").agg(r(F.sum(w * F.col("mfe_pct")) / F.sum(w), 4).alias("mfe_mean"), r(F.percentile("mfe_pct", 0.5, w), 4).alias("mfe_median"))
+    both = [x for m in ("mfe", "mae") for x in (r(F.sum(w * F.col(f"{m}_pct")) / F.sum(w), 4).alias(f"{m}_mean"), r(F.percentile(f"{m}_pct", 0.5, w), 4).alias(f"{m}_median"))]
+    return facet_outcomes(spark, sf).filter("not censored").groupBy(*FACET, *GRID).agg(*both)
 
 
 @query("condition_columns", build("""SELECT T, (CASE WHEN imbalance > 0 THEN 2 WHEN imbalance < 0 THEN 0 ELSE 1 END)::BIGINT AS map_direction, (CASE WHEN age_mean IS NULL THEN -1 ELSE (age_mean > 720)::INT + (age_mean > 4320)::INT + (age_mean > 8760)::INT END)::BIGINT AS age_band FROM state_e"""))

@@ -8,13 +8,16 @@ from tidemark.config import DAY, HOUR, STEPS, TFS, WIDTHS, Scoring, Settings, Sl
 from tidemark.functions.columns import age_weight, known, long, proximity, r
 from tidemark.operators import confluence as X
 from tidemark.operators import detectors as D
+from tidemark.operators import flow as FL
 from tidemark.operators import fullmap as M
+from tidemark.operators import profiles as P
 from tidemark.operators import quality as Q
 from tidemark.operators import scoring as SC
 from tidemark.operators import slopes as SL
 from tidemark.plans import q_map
-from tidemark.plans.base import T0, bars_e, bars_l
+from tidemark.plans.base import T0, bars_e, bars_l, tape_e
 from tidemark.plans.q_map import score_sql, union_sql, weight_sql
+from tidemark.plans.q_quality import quarantine
 from tidemark.plans.registry import build, cte, query
 from tidemark.session import materialize
 
@@ -88,6 +91,42 @@ def native_intervals(spark, sf):
     return out
 
 
+GRAIN = {"15m": STEPS["15m"], "1h": STEPS["15m"], "4h": HOUR, "1d": HOUR}  # buckets of the profile that a timeframe's window is made of
+cte("prof_q", f"SELECT symbol, ts // {STEPS['15m']} * {STEPS['15m']} AS bucket, price, sum(quantity) AS quantity, sum(CASE WHEN NOT maker THEN quantity ELSE 0 END) AS buy, sum(CASE WHEN maker THEN quantity ELSE 0 END) AS sell FROM trade_e GROUP BY ALL")
+
+
+def native_flow_sql(tf: str) -> str:
+    step, grain = STEPS[tf], GRAIN[tf]
+    prof = "prof_q" if grain == STEPS["15m"] else "prof_e"
+    cte(f"uni_j{tf}", union_sql(f"SELECT T, side, lo, hi FROM ivl_c{tf} UNION ALL SELECT T, 'joint', lo, hi FROM ivl_c{tf}", "T, side"))
+    cte(f"have_{tf}", f"SELECT d.T, count(DISTINCT p.bucket) AS n FROM dec_c{tf} d JOIN (SELECT DISTINCT bucket FROM {prof}) p ON p.bucket >= d.T - {step} AND p.bucket < d.T GROUP BY 1")
+    cte(f"sum_{tf}", f"SELECT u.T, " + ", ".join(f"sum(p.{c}) FILTER (WHERE side = '{x}') AS {x}_{c}" for x in FL.SIDES for c in ("quantity", "buy", "sell")) + f" FROM uni_j{tf} u JOIN {prof} p ON p.bucket >= u.T - {step} AND p.bucket < u.T AND p.price BETWEEN u.lo AND u.hi GROUP BY 1")
+    cte(f"ivn_{tf}", "SELECT T, " + ", ".join(f"count(*) FILTER (WHERE side = '{x}') AS {x}_n" for x in FL.SIDES) + f" FROM uni_j{tf} GROUP BY 1")
+    return f"""SELECT '{tf}' AS tf, d.T, {step / HOUR}::DOUBLE AS flow_hours, CASE WHEN EXISTS (SELECT 1 FROM quar q WHERE d.T - {step} < q.e AND d.T > q.s) THEN 'QUARANTINED' WHEN coalesce(h.n, 0) < {step // grain} THEN 'MISSING_PROFILE' ELSE 'AVAILABLE' END AS flow_status,
+      {', '.join(f'coalesce({x}_n, 0) AS {x}_interval_count' for x in FL.SIDES)}, {', '.join(f'coalesce({x}_{c}, 0) AS {x}_{c}' for x in FL.SIDES for c in ('quantity', 'buy', 'sell'))}
+      FROM dec_c{tf} d LEFT JOIN have_{tf} h ON h.T = d.T LEFT JOIN sum_{tf} s ON s.T = d.T LEFT JOIN ivn_{tf} v ON v.T = d.T"""
+
+
+cte("flow_n", " UNION ALL ".join(f"({native_flow_sql(tf)})" for tf in TFS))
+
+
+@query("zone_flow_native", build(f"""SELECT tf, T, flow_hours, flow_status, {', '.join(f'{x}_interval_count' for x in FL.SIDES)}, {', '.join(f"CASE WHEN flow_status = 'AVAILABLE' THEN round({x}_{c}, 6) END AS {x}_{c}" for x in FL.SIDES for c in ('quantity', 'buy', 'sell'))} FROM flow_n"""))
+def zone_flow_native(spark, sf):
+    """Volume in each timeframe's own zones over its own last step: fine profile for the short ones, hourly for the long ones."""
+    fine = materialize(P.profile(tape_e(spark, sf), STEPS["15m"]), "profile")
+    profiles = {STEPS["15m"]: fine, HOUR: materialize(P.merge_profiles(fine, HOUR), "profile")}
+    spans = materialize(quarantine(spark, sf), "spans")
+    out = None
+    for tf in TFS:
+        b = stored_bars(spark, sf, tf)
+        d = M.decisions(b, SINCE)
+        near = M.with_weight(M.near_map(d, D.detect_a(b), LB, WIDTHS[tf]), WIDTHS[tf]).filter("weight > 0")
+        f = FL.zone_flow(d, FL.zone_unions(near, WIDTHS[tf]), profiles[GRAIN[tf]], GRAIN[tf], (STEPS[tf] // GRAIN[tf],), spans)
+        out = f if out is None else out.unionByName(f)
+    hours = F.col("window") * F.create_map(*[F.lit(x) for tf in TFS for x in (tf, GRAIN[tf] / HOUR)])[F.col("tf")]
+    return out.select("tf", "T", hours.cast("double").alias("flow_hours"), "flow_status", *[F.col(f"{x}_interval_count") for x in FL.SIDES], *[r(f"{x}_{c}").alias(f"{x}_{c}") for x in FL.SIDES for c in ("quantity", "buy", "sell")])
+
+
 def overlap_sql() -> str:
     """Each subset from the subset without its last timeframe, by equality on time and side."""
     for tf in TFS:

@@ -311,13 +311,6 @@ def zone_flow_1h(spark, sf):
     return f.select("T", "flow_status", F.when(q > 0, r((b - s) / q, 5)).alias("support_normalized_delta"), F.when(q + o > 0, r(q / (q + o), 5)).alias("support_volume_share"))
 
 
-@query("zone_flow_native", build("""SELECT T, "window" * 1.0::DOUBLE AS flow_hours, flow_status, count(u.side) FILTER (WHERE u.side = 'support') AS support_interval_count, count(u.side) FILTER (WHERE u.side = 'joint') AS joint_interval_count
-  FROM flow_e LEFT JOIN uni_e u USING (T) GROUP BY ALL"""))
-def zone_flow_native(spark, sf):
-    f = flow_e(spark, sf)
-    return f.select("T", F.col("window").cast("double").alias("flow_hours"), "flow_status", "support_interval_count", "joint_interval_count")
-
-
 @query("attach_flow", build(f"""SELECT s.T, s.A1, f.flow_status, {OKF.format('round(f.joint_quantity, 6)')} AS quantity, {OKF.format('round(f.joint_buy - f.joint_sell, 6) + 0.0::DOUBLE')} AS delta FROM score_e s LEFT JOIN flow_e f ON f.T = s.T AND f."window" = 1"""))
 def attach_flow(spark, sf):
     a = FL.attach_flow(score_e(spark, sf), flow_e(spark, sf), 1)

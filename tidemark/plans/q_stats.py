@@ -497,10 +497,21 @@ def extreme_contrast(spark, sf):
     return p.select(*S.GRID, r(F.col("4_y") - F.col("1_y")).alias("difference"), F.least("1_n", "4_n").alias("minimum_complete"), ((F.col("1_n") >= 200) & (F.col("4_n") >= 200)).alias("both_supported"))
 
 
-@query("volume_composition", build("SELECT direction, tp, sl, horizon, round(h.amb - l.amb, 6) + 0.0::DOUBLE AS ambiguity_high_minus_low, round(h.y - l.y, 6) + 0.0::DOUBLE AS tp_high_minus_low FROM (SELECT * FROM curve_l WHERE x = 4) h JOIN (SELECT * FROM curve_l WHERE x = 1) l USING (direction, tp, sl, horizon)"))
+cte("vol_l", "SELECT c.event_id, round(b.volume, 6) AS volume FROM ctx_l c JOIN bars_l1d b ON b.symbol = c.symbol AND b.end_time = c.T")
+cte("vcut_l", "SELECT quantile_cont(volume, [0.25, 0.5, 0.75]) AS c FROM vol_l")
+cte("vcell_l", f"""SELECT {label_sql('volume', 'c')} AS vb, direction, tp, sl, horizon, count(*) FILTER (WHERE NOT censored) AS n, count(*) FILTER (WHERE NOT censored AND label = 'TP_FIRST') / nullif(count(*) FILTER (WHERE NOT censored), 0)::DOUBLE AS y,
+  count(*) FILTER (WHERE NOT censored AND label = 'AMBIGUOUS') / nullif(count(*) FILTER (WHERE NOT censored), 0)::DOUBLE AS amb FROM out_l JOIN vol_l USING (event_id), vcut_l GROUP BY ALL""")
+
+
+@query("volume_composition", build("SELECT direction, tp, sl, horizon, h.n AS high_complete, l.n AS low_complete, round(h.amb - l.amb, 6) + 0.0::DOUBLE AS ambiguity_high_minus_low, round(h.y - l.y, 6) + 0.0::DOUBLE AS tp_high_minus_low FROM (SELECT * FROM vcell_l WHERE vb = 'Q4') h JOIN (SELECT * FROM vcell_l WHERE vb = 'Q1') l USING (direction, tp, sl, horizon)"))
 def volume_composition(spark, sf):
-    p = curve_l(spark, sf).groupBy(*S.GRID).pivot("x", [1, 4]).agg(F.max("tp_first_rate").alias("y"), F.max("ambiguous_rate").alias("a"))
-    return p.select(*S.GRID, r(F.col("4_a") - F.col("1_a")).alias("ambiguity_high_minus_low"), r(F.col("4_y") - F.col("1_y")).alias("tp_high_minus_low"))
+    """How labels are made up after bars of high and of low volume."""
+    bars = bars_l(spark, sf)
+    c = ctx(bars).join(bars.select("symbol", F.col("end").alias("timestamp"), r("volume").alias("volume")), ["symbol", "timestamp"])
+    c = C.apply_buckets(c, C.fit_quantiles(c, ["volume"], 4), ["volume"]).select("event_id", "volume_bucket")
+    cells = S.cell_sums(outcomes_l(spark, sf).join(c, "event_id"), "volume_bucket", *S.GRID)
+    p = cells.groupBy(*S.GRID).pivot("volume_bucket", ["Q1", "Q4"]).agg(F.max("tp_first_rate").alias("y"), F.max("ambiguous_rate").alias("a"), F.max("complete").alias("n"))
+    return p.select(*S.GRID, F.col("Q4_n").alias("high_complete"), F.col("Q1_n").alias("low_complete"), r(F.col("Q4_a") - F.col("Q1_a")).alias("ambiguity_high_minus_low"), r(F.col("Q4_y") - F.col("Q1_y")).alias("tp_high_minus_low"))
 
 
 _SL = "0.1::DOUBLE * (sxy - sx * sy / n) / CASE WHEN n >= 2 AND sxx - sx * sx / n > 1e-14 THEN sxx - sx * sx / n END"
