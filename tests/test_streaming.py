@@ -60,3 +60,41 @@ def test_conflicts_in_a_batch_and_with_accepted_rows(spark):
     new, bad = L.split_conflicts(rows, store, ["k"], "v")
     assert sorted((r.k, r.v) for r in new.collect()) == [(1, 5.0), (2, 7.0)]
     assert sorted((r.k, r.v) for r in bad.collect()) == [(1, 6.0), (3, 1.0)]
+
+
+def test_late_trades_go_aside_over_restart_and_replay(spark, tmp_path):
+    import random
+
+    from tidemark.streaming import live as L
+
+    rng = random.Random(6)
+    step, delay = 100, 150
+    packs = []
+    for p in range(5):
+        packs.append([("X" if rng.random() < 0.7 else "Y", 1000 * p + i, max(0, 300 * p + rng.randint(-600, 300)), float(rng.randint(90, 110)), 1.0) for i in range(40)])
+    schema = "symbol string, seq long, timestamp long, price double, quantity double"
+    newest, late, kept = None, [], []
+    for pack in packs:
+        for t in pack:
+            gone = newest is not None and t[2] // step * step + step <= newest - delay
+            (late if gone else kept).append(t)
+        newest = max([t[2] for t in pack] + ([newest] if newest is not None else []))
+    want = {}
+    for t in sorted(kept, key=lambda t: t[1]):
+        o = t[2] // step * step
+        if o + step <= newest - delay:
+            b = want.setdefault((t[0], o), [t[3], t[3], t[3], t[3], 0])
+            b[1], b[2], b[3], b[4] = max(b[1], t[3]), min(b[2], t[3]), t[3], b[4] + 1
+
+    folder = str(tmp_path / "in")
+    store = L.BarStore(spark, str(tmp_path / "out"), step, delay)
+    assert store.closed().collect() == [] and store.late().collect() == [] and store.watermark() is None
+    for n, pack in enumerate(packs):
+        df = spark.createDataFrame(pack, schema)
+        df.coalesce(1).write.mode("append").parquet(folder)
+        if n in (1, 4):  # two runs over the same checkpoint, several files each
+            L.BarStore(spark, str(tmp_path / "out"), step, delay).run(L.read_folder(spark, folder, df.schema, 1))
+    store.take(spark.createDataFrame(packs[2], schema), 2)  # a batch that runs again replaces itself
+    assert sorted(tuple(r)[:5] for r in store.late().collect()) == sorted(late) and late
+    got = {(r.symbol, r.open_time): [r.open, r.high, r.low, r.close, r.trade_count] for r in store.closed().collect()}
+    assert got == want

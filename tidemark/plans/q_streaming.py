@@ -10,10 +10,10 @@ from tidemark.operators import detectors as D
 from tidemark.operators import fullmap as M
 from tidemark.operators import scoring as SC
 from tidemark.plans import q_levels, q_quality  # noqa: F401  (their SQL blocks)
-from tidemark.plans.base import T0, bars_e, tape_e
+from tidemark.plans.base import SPAN, T0, bars_e, tape_e
 from tidemark.plans.q_confluence import CFG
 from tidemark.plans.registry import build, cte, query
-from tidemark.session import scratch
+from tidemark.session import materialize, scratch
 from tidemark.sources.tapes import intraday_trades
 from tidemark.streaming import live as L
 
@@ -32,13 +32,13 @@ def bar_out(d):
 
 @query("stream_candles_from_trades", build(BARS.format("bars_t1h")))
 def stream_candles(spark, sf):
-    return bar_out(L.run(L.closed_bars(trades_stream(spark, sf, True), "1 hour"), "bars"))
+    return bar_out(L.run(L.closed_bars(trades_stream(spark, sf, True), "1 hour", "0 seconds"), "bars"))
 
 
 @query("stream_native_clocks", build(" UNION ALL ".join(f"SELECT '{tf}' AS tf, * FROM ({BARS.format('bars_e' + tf)})" for tf in ("4h", "1d"))))
 def stream_native_clocks(spark, sf):
-    a = bar_out(L.run(L.closed_bars(trades_stream(spark, sf), "4 hours"), "b4")).withColumn("tf", F.lit("4h"))
-    return a.unionByName(bar_out(L.run(L.closed_bars(trades_stream(spark, sf), "1 day"), "b1")).withColumn("tf", F.lit("1d")))
+    a = bar_out(L.run(L.closed_bars(trades_stream(spark, sf), "4 hours", "0 seconds"), "b4")).withColumn("tf", F.lit("4h"))
+    return a.unionByName(bar_out(L.run(L.closed_bars(trades_stream(spark, sf), "1 day", "0 seconds"), "b1")).withColumn("tf", F.lit("1d")))
 
 
 @query("stream_dedup_idempotent", build("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM trade_e"))
@@ -93,6 +93,36 @@ def stream_late(spark, sf):
     return L.run(L.guard(bar_stream(spark, sf, change=more), HOUR), "late").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+PACK = 5 * DAY
+cte("arrive", f"SELECT *, (ts - {T0}) // {PACK} + CASE WHEN id % 50 = 0 THEN 1 ELSE 0 END AS pack, ts // {HOUR} * {HOUR} AS open_time FROM trade_e")
+cte("mark", f"SELECT pack, max(newest) OVER (ORDER BY pack ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DAY} AS line FROM (SELECT pack, max(ts) AS newest FROM arrive GROUP BY pack)")
+cte("timely", f"SELECT a.*, coalesce(open_time + {HOUR} <= line, false) AS late FROM arrive a JOIN mark USING (pack)")
+
+
+def late_store(spark, sf):
+    """The tape in packs of five days, one file and micro-batch each; every fiftieth trade comes a pack later."""
+    pack = F.floor((F.col("timestamp") - T0) / PACK) + F.when(F.col("id") % 50 == 0, 1).otherwise(0)
+    trades = materialize(tape_e(spark, sf).select("symbol", F.col("id").alias("seq"), "timestamp", "price", "quantity", pack.alias("pack")), "arrivals")
+    path = scratch(spark, "packs")
+    for p in range(-(-SPAN // PACK) + 1):  # in order of arrival; the calendar bounds their number
+        trades.filter(F.col("pack") == p).drop("pack").coalesce(1).write.mode("append").parquet(path)
+    store = L.BarStore(spark, scratch(spark, "bars"), HOUR, DAY)
+    store.run(L.read_folder(spark, path, trades.drop("pack").schema, 1))
+    return store
+
+
+@query("stream_late_trades", build("SELECT id AS seq, ts AS timestamp, round(price, 6) AS price FROM timely WHERE late"))
+def stream_late_trades(spark, sf):
+    """Trades that came after their bar had closed, beside the bars that they did not change."""
+    return late_store(spark, sf).late().select("seq", "timestamp", r("price").alias("price"))
+
+
+@query("stream_timely_bars", build(f"SELECT open_time, round(arg_min(price, id), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, id), 6) AS close, round(sum(quantity), 6) AS volume, count(*) AS trade_count FROM timely WHERE NOT late GROUP BY open_time HAVING open_time + {HOUR} <= (SELECT max(ts) - {DAY} FROM arrive)"))
+def stream_timely_bars(spark, sf):
+    """Closed bars of the same stream: all trades that were in time."""
+    return late_store(spark, sf).closed().select("open_time", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume")], "trade_count")
+
+
 @query("stream_clock_guard", build("SELECT symbol, count(*) AS reversed FROM (SELECT symbol, id - lag(id) OVER (ORDER BY arrival) AS d FROM arrived) WHERE d < 0 GROUP BY symbol"))
 def stream_clock(spark, sf):
     """Server time (here the id) must not move back along the arrival order."""

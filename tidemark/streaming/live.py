@@ -47,10 +47,11 @@ def run_batches(df: DataFrame, label: str, each) -> None:
     q.awaitTermination()
 
 
-def closed_bars(trades: DataFrame, step: str, delay: str = "0 seconds") -> DataFrame:
+def closed_bars(trades: DataFrame, step: str, delay: str) -> DataFrame:
     """Bars in append mode: a bar appears once the watermark has passed its end, never before.
 
-    ``trades``: symbol, ts (timestamp), seq, price, quantity. Later trades of a closed bar are dropped.
+    ``trades``: symbol, ts (timestamp), seq, price, quantity. Later trades of a closed bar are dropped; ``BarStore``
+    keeps them.
     """
     w = F.window("ts", step)
     d = trades.withWatermark("ts", delay).groupBy("symbol", w.alias("w")).agg(
@@ -60,6 +61,71 @@ def closed_bars(trades: DataFrame, step: str, delay: str = "0 seconds") -> DataF
     return d.select("symbol", F.unix_millis("w.start").alias("open_time"), F.unix_millis("w.end").alias("end"), "open", "high", "low", "close", "volume", "trade_count")
 
 
+class BarStore:
+    """Bars of one step in a folder, with the trades that came too late beside them.
+
+    A trade is late if, when its micro-batch begins, the newest trade of all earlier ones lies ``delay`` or more behind
+    the end of its bar. Each micro-batch writes its late trades, mergeable sums of its other ones and its newest time under its own number,
+    so that a batch that runs again replaces itself; nothing is held in one task. A bar is closed when the
+    watermark has passed its end, and no later trade can change it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, step: int, delay: int):
+        self.spark, self.path, self.step, self.delay = spark, path, step, delay
+
+    LATE = "symbol string, seq long, timestamp long, price double, quantity double, batch long"
+    PARTS = (
+        "symbol string, open_time long, first struct<seq:long,price:double>, last struct<seq:long,price:double>, high double, low double, volume double, trade_count long, batch long"
+    )
+    MARKS = "newest long, batch long"
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        """All batches' rows; a folder that no batch has written yet is an empty table."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def watermark(self, before: int | None = None) -> int | None:
+        """Newest time of all batches (before one of them) less the delay; one number."""
+        marks = self._read("marks", self.MARKS)
+        newest = (marks if before is None else marks.filter(F.col("batch") < before)).agg(F.max("newest")).first()[0]
+        return None if newest is None else newest - self.delay
+
+    def take(self, batch: DataFrame, number: int) -> None:
+        """One micro-batch of trades (symbol, seq, timestamp, price, quantity)."""
+        line = self.watermark(number)
+        start = F.col("timestamp") - F.pmod("timestamp", F.lit(self.step))
+        rows = batch.select("symbol", "seq", "timestamp", "price", "quantity").withColumn("open_time", start).withColumn("_late", F.lit(False) if line is None else F.col("open_time") + self.step <= line)
+        rows = rows.persist()
+        put = lambda d, name: d.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        put(rows.filter("_late").drop("open_time", "_late"), "late")
+        trade = F.struct("seq", "price")
+        put(
+            rows.filter("not _late").groupBy("symbol", "open_time").agg(
+                F.min(trade).alias("first"), F.max(trade).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trade_count")
+            ), "parts",
+        )
+        put(rows.agg(F.max("timestamp").alias("newest")).filter("newest is not null"), "marks")
+        rows.unpersist()
+
+    def run(self, trades: DataFrame) -> None:
+        """All that is there of a stream; a later run with the same folder goes on behind it."""
+        q = trades.writeStream.option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).foreachBatch(self.take).start()
+        q.awaitTermination()
+
+    def late(self) -> DataFrame:
+        return self._read("late", self.LATE)
+
+    def closed(self) -> DataFrame:
+        """Bars whose end the watermark has passed."""
+        line = self.watermark()
+        bars = self._read("parts", self.PARTS).groupBy("symbol", "open_time").agg(
+            F.min("first").alias("f"), F.max("last").alias("l"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count")
+        )
+        bars = bars.filter(F.col("open_time") + self.step <= F.lit(line))
+        return bars.select("symbol", "open_time", (F.col("open_time") + self.step).alias("end"), F.col("f.price").alias("open"), "high", "low", F.col("l.price").alias("close"), "volume", "trade_count")
+
+
 def dedup(trades: DataFrame, delay: str = "1 hour") -> DataFrame:
     return trades.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "id"])
 
