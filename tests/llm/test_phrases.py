@@ -91,7 +91,7 @@ def test_block_with_five_fingerprints_for_everything(monkeypatch):
     right = pa.table({"part": parts.astype(np.int64), "bits": [np.packbits(np.ones(n, bool)).tobytes() for n in sizes]})
     got = Counter()
     out = phrases._pointed(2, 5)(left, right)
-    entries = np.concatenate([np.frombuffer(x, phrases.ENTRY) for x in out["entries"].to_pylist()])
+    entries = np.concatenate([phrases.unpack(x, phrases.ENTRY) for x in out["entries"].to_pylist()])
     assert len(set(entries["fp"].tolist())) <= 5 and len({(e["fp"], e["other"]) for e in entries}) == len(entries)
     often = phrases._often(1)(out)
     at = [p & ((1 << phrases.AT) - 1) for p in often["one"].to_pylist()]
@@ -104,3 +104,12 @@ def test_block_with_five_fingerprints_for_everything(monkeypatch):
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
     assert phrases.collocations(spark.createDataFrame([(None, None)], "lang string, text string")).collect() == []
+
+
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(2)
+    for kind in (phrases.COUNT, phrases.ENTRY):
+        for n in (0, 1, 2, 500):
+            e = np.frombuffer(rng.bytes(n * kind.itemsize), kind).copy()
+            e.sort(order="fp")
+            assert (phrases.unpack(phrases.pack(e), kind) == e).all()

@@ -36,6 +36,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inver
 AT = 24  # bits of a place in a block
 BLOCKS = "blk long, lang string, body binary, own long, n_words long"
 POINTERS = "part long, blk long, entries binary"
+COUNT = np.dtype([("fp", "<u4"), ("n", "<u4")])  # a word or pair of a block
 ENTRY = np.dtype([("fp", "<u8"), ("other", "<u4"), ("n", "<u4"), ("at", "<u4"), ("size", "<u4")])  # a phrase of a block
 
 
@@ -183,6 +184,26 @@ class Grams:
         return out
 
 
+def pack(entries: np.ndarray) -> bytes:
+    """Records in order of ``fp`` as steps of it and then the other fields, each byte position apart, compressed."""
+    entries = entries.copy()
+    entries["fp"][1:] -= entries["fp"][:-1].copy()
+    planes = [np.ascontiguousarray(entries[c]).view(np.uint8).reshape(len(entries), entries.dtype[c].itemsize).T for c in entries.dtype.names]
+    return zstandard.compress(b"".join(x.tobytes() for x in planes), 3)
+
+
+def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    out = np.empty(len(raw) // kind.itemsize, kind)
+    at = 0
+    for c in kind.names:
+        width = kind[c].itemsize * len(out)
+        out[c] = np.ascontiguousarray(raw[at : at + width].reshape(kind[c].itemsize, len(out)).T).view(kind[c]).reshape(-1)
+        at += width
+    out["fp"] = np.cumsum(out["fp"], dtype=kind["fp"])
+    return out
+
+
 def _hashes(parts: int, least: int):
     def count(batches):
         for batch in batches:
@@ -192,11 +213,11 @@ def _hashes(parts: int, least: int):
                 part = (found >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 edges = [0, *cuts.tolist(), len(part)]
-                small = found.astype(np.uint32)
+                entries = np.zeros(len(found), COUNT)
+                entries["fp"], entries["n"] = found.astype(np.uint32), n
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(part[edges[:-1]], pa.int64()), "blk": pa.array([blk] * (len(edges) - 1), pa.int64()),
-                    "hashes": pa.array([small[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary()),
-                    "counts": pa.array([n[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary()),
+                    "entries": pa.array([pack(entries[i:j]) for i, j in zip(edges, edges[1:])], pa.binary()),
                 })
 
     return count
@@ -204,10 +225,10 @@ def _hashes(parts: int, least: int):
 
 def _frequent(least: int):
     def judge(t: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x.as_py(), np.uint32) for x in t["hashes"]]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t["counts"]])
-        _, place = np.unique(np.concatenate(rows), return_inverse=True)
-        often = np.bincount(place, weights=counts)[place] >= least
+        rows = [unpack(x.as_py(), COUNT) for x in t["entries"]]
+        every = np.concatenate(rows)
+        _, place = np.unique(every["fp"], return_inverse=True)
+        often = np.bincount(place, weights=every["n"])[place] >= least
         edges = np.cumsum([len(r) for r in rows])[:-1]
         return pa.table({"blk": t["blk"], "part": t["part"], "bits": pa.array([np.packbits(x).tobytes() for x in np.split(often, edges)], pa.binary())})
 
@@ -247,9 +268,9 @@ def _pointed(parts: int, longest: int):
             out.append(entries)
         entries = np.concatenate(out)
         part = (entries["fp"] >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((entries["fp"], part))
         found, starts = np.unique(part[order], return_index=True)
-        rows = [entries[x].tobytes() for x in np.split(order, starts[1:])] if len(found) else []
+        rows = [pack(entries[x]) for x in np.split(order, starts[1:])] if len(found) else []
         return pa.table({"part": found.astype(np.int64), "blk": np.full(len(found), blk, np.int64), "entries": pa.array(rows, pa.binary())})
 
     return point
@@ -258,7 +279,7 @@ def _pointed(parts: int, longest: int):
 def _often(least: int):
     def judge(t: pa.Table) -> pa.Table:
         """Phrases of one part that reach the least count, with two occurrences from anywhere (by hash, so that no block is asked for all)."""
-        rows = [np.frombuffer(x.as_py(), ENTRY) for x in t["entries"]]
+        rows = [unpack(x.as_py(), ENTRY) for x in t["entries"]]
         e = np.concatenate(rows)
         pointer = (np.repeat(t["blk"].to_numpy(), [len(r) for r in rows]) << AT) + e["at"]
         anywhere = (pointer.astype(np.uint64) ^ e["fp"]) * np.uint64(BASES[0]) >> np.uint64(20)
@@ -301,7 +322,7 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "l
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     words = blocks.agg(F.sum("n_words")).first()[0] or 0  # one number
     parts = 1 + words * 6 // PART
-    hashes = blocks.mapInArrow(_hashes(parts, least), "part long, blk long, hashes binary, counts binary")
+    hashes = blocks.mapInArrow(_hashes(parts, least), POINTERS)
     bits = hashes.groupBy("part").applyInArrow(_frequent(least), "blk long, part long, bits binary")
     pointers = blocks.groupBy("blk").cogroup(bits.groupBy("blk")).applyInArrow(_pointed(parts, longest), POINTERS)
     often = materialize(pointers.groupBy("part").applyInArrow(_often(least), "fp long, other long, f long, one long, two long, size int"), "often")
