@@ -13,7 +13,6 @@ so that blocks do not cost a bin each; every round has a fraction of the pieces
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,17 +32,19 @@ POPULATION = 4
 GENERATIONS = 6  # in an epoch
 EPOCHS = 2
 FULL = 0.995  # bins filled to this share are final; pieces of others go to the next round
-WORDS = 600_000  # different words whose ids a worker remembers
+WORDS = 900_000  # different words whose ids a worker remembers
 TOGETHER = 2_000_000  # characters whose new words are encoded together
 MARK = "\0"
-LONE = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
+ENDS = b".,"  # after a letter a-z and before a blank these are tokens of their own
+TOGETHER_WORDS = 5000
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer lower-cases, drops white space and joins nothing across it, so the ids of a text are those of its
-    words, which are looked up; the new words of many texts are encoded together, ``MARK`` between them.
+    words, which are looked up; the new words of many texts are encoded together. A word of letters is mostly one run of
+    ids up to one that ends a word, so such words are told apart by these ids; between others stands ``MARK``.
     """
 
     def __init__(self, tokenizer: str):
@@ -52,37 +53,62 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.known = Tokenizer.from_file(tokenizer), {}
         self.mark = self.ids(MARK)
+        self.ends = {bytes((c,)): self.ids(chr(c)).tobytes() for c in ENDS}
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        if suffix:
+            self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: set[bytes]) -> None:
-        plain = []
+        letters, others, mark = [], [], MARK.encode()
         for w in words:
-            if MARK.encode() in w or b"<|" in w:  # the mark itself, or perhaps a special token
+            if mark in w or b"<|" in w:  # the mark itself, or perhaps a special token
                 self.known[w] = self.ids(w.decode()).tobytes()
             else:
-                plain.append(w)
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
+                (letters if w.decode().isalpha() else others).append(w)
+        for at in range(0, len(letters), TOGETHER_WORDS):
+            part = letters[at : at + TOGETHER_WORDS]
+            ids = self.ids(" ".join([w.decode() for w in part]))
+            cuts = (np.flatnonzero(self.closing[ids]) + 1) * 4
+            if len(cuts) == len(part) and cuts[-1] == ids.nbytes:  # each word ends at least one run, so exactly one
+                self.keep(part, ids, np.r_[0, cuts[:-1]], cuts)
+            else:
+                others += part
+        for at in range(0, len(others), TOGETHER_WORDS):
+            part = others[at : at + TOGETHER_WORDS]
             ids = self.ids(f" {MARK} ".join([w.decode() for w in part]))
-            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark[0]) * 4
-            for w, i, j in zip(part, np.r_[0, cuts + 4].tolist(), np.r_[cuts, len(data)].tolist(), strict=True):
-                self.known[w] = data[i:j]
+            cuts = np.flatnonzero(ids == self.mark[0]) * 4
+            self.keep(part, ids, np.r_[0, cuts + 4], np.r_[cuts, ids.nbytes])
+
+    def keep(self, words: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        data = ids.tobytes()
+        for w, i, j in zip(words, begins.tolist(), ends.tolist(), strict=True):
+            self.known[w] = data[i:j]
+
+    def stem(self, word: bytes) -> bytes:
+        """``word`` without a last mark that is a token of its own."""
+        return word[:-1] if word[-1] in ENDS and word[-2:-1].isalpha() and b"<|" not in word else word
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split, seen = [], set()
         for text in texts:
             data = (text or "").encode("utf-8", "replace")
-            # ASCII letters and white space; a mark after a letter and before a blank is a token of its own anyway.
-            words = data.split() if b"<|" in data else LONE.sub(rb" \1 ", data.lower()).split()
+            words = (data if b"<|" in data else data.lower()).split()  # ASCII letters and white space
             split.append(words)
             seen.update(words)
         new = seen.difference(self.known)
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
             new = seen
-        self.learn(new)
+        stems = {w: self.stem(w) for w in new}
+        self.learn(set(stems.values()).difference(self.known))
+        for w, stem in stems.items():
+            if stem is not w:
+                self.known[w] = self.known[stem] + self.ends[w[-1:]]
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

@@ -4,10 +4,13 @@ Text becomes pieces by the same rules as in the library: a blank is put in front
 cut the text into pieces the one with the greatest sum of scores wins; between equal sums the one whose last piece is
 longer. A character in no piece has the library's penalty and is written as its bytes.
 
-The search reads characters once. It keeps best paths to the last ``max_len`` boundaries, as only
-these can begin a later piece, and whenever the paths to all of them run through one boundary, the ids up to
-there are final and handed out. Where no piece of the model runs from a letter into a blank, all paths converge before
-each run of blanks; the words between are then searched once and remembered.
+The search reads characters once, at most ``max_len`` ahead. Best paths run to the boundaries that a piece
+begun so far can end at; whenever all of them come through one boundary, the ids up to there are final and handed out.
+Where no piece of the model runs from a letter into a blank, all paths converge before each run of blanks; what
+follows such a boundary up to the next one is then searched once and remembered, by every task of a worker.
+
+Scores are taken from the model as they are. For a BPE model these are ranks of merges, and the best sum of ranks is
+another cut than the one that its merges make: the ids give the text back, but are not that model's own encoding.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 UNKNOWN_PENALTY = 10  # below the least score, as in the library
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
-WORDS = 300_000  # words a worker remembers
+WORDS = 600_000  # words a worker remembers
 LONGEST = 64  # longer words are searched each time
 EVERY = 32  # characters between looks for a common boundary
+NEVER = float("-inf")
 
 
 class Vocabulary:
@@ -61,68 +65,89 @@ class Vocabulary:
                 node[None] = (float(p.score), i)
                 scores.append(float(p.score))
         self.trie = trie
+        self.singles = {c for c, node in trie.items() if None in node}
         names = [p.piece for p in model.pieces if p.type in (NORMAL, USER)]
         self.max_len = max(map(len, names), default=1)
         self.penalty = min(scores, default=0.0) - UNKNOWN_PENALTY
         self.cut_at_blanks = not any(BLANK in p.lstrip(BLANK) for p in names)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # native 32-bit ids
 
     def fallback(self, c: str) -> list[int]:
         return [self.byte_ids.get(b, self.unknown) for b in c.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
 
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def vocabulary_of(model: str) -> Vocabulary:
+    """This worker's vocabulary, which keeps its words from task to task."""
+    if model not in _VOCABULARIES:
+        _VOCABULARIES[model] = Vocabulary(model)
+    return _VOCABULARIES[model]
+
+
 def viterbi(vocabulary: Vocabulary, text: Iterable[str]) -> Iterator[list[int]]:
-    """Runs of final ids of ``text``, which is read one character at a time."""
-    longest, trie, penalty = vocabulary.max_len, vocabulary.trie, vocabulary.penalty
-    chars: list[str] = []  # since the last final boundary
-    first = 0  # that boundary's place
-    # To each boundary: sum, begin of the last piece, its id (None: a character in no piece).
-    paths: dict[int, tuple[float, int, int | None]] = {0: (0.0, 0, None)}
-    open_nodes: list[tuple[int, dict]] = []  # pieces begun, and where in the trie they are
+    """Runs of final ids of ``text``, which is read part by part (characters, if it is one string)."""
+    longest, trie, singles, penalty = vocabulary.max_len, vocabulary.trie, vocabulary.singles, vocabulary.penalty
+    parts, more = iter(text), True
+    ahead = ""  # characters from the last final boundary on
+    # To each boundary of ``ahead``: best sum, begin of the last piece, its id (None: a character in no piece).
+    sums, begins, ids = [0.0], [0], [None]
+    at = done = 0  # the boundary whose pieces come next; how many came
 
     def spelled(end: int) -> list[int]:
         out = []
-        while end > first:
-            _, begin, i = paths[end]
-            out.append(vocabulary.fallback(chars[begin - first]) if i is None else [i])
+        while end:
+            begin, i = begins[end], ids[end]
+            out.append(vocabulary.fallback(ahead[begin]) if i is None else (i,))
             end = begin
-        return [i for ids in reversed(out) for i in ids]
-
-    at = 0
-    for at, c in enumerate(text, 1):
-        chars.append(c)
-        open_nodes.append((at - 1, trie))
-        best, still, single = None, [], False
-        for begin, node in open_nodes:
-            node = node.get(c)
-            if node is None:
-                continue
-            still.append((begin, node))
-            if (hit := node.get(None)) is not None:
-                single |= begin == at - 1
-                total = paths[begin][0] + hit[0]
-                if best is None or total > best[0]:
-                    best = (total, begin, hit[1])
-        if not single:
-            total = paths[at - 1][0] + penalty
-            if best is None or total > best[0]:
-                best = (total, at - 1, None)
-        open_nodes = still
-        paths[at] = best
-        if at % EVERY == 0:
-            live = {begin for begin, _ in still} | {at}
-            while len(live) > 1:  # step back from the last until all paths meet
-                last = max(live)
-                live.remove(last)
-                live.add(max(first, paths[last][1]))
-            meet = live.pop()
-            if meet > first:
+        return [i for some in reversed(out) for i in some]
+
+    def meeting() -> int:
+        """The last boundary that all surviving paths come through."""
+        live = {at, *(begins[end] for end in range(at + 1, len(sums)) if sums[end] > NEVER)}
+        while len(live) > 1:  # step back from the last until all paths meet
+            last = max(live)
+            live.remove(last)
+            live.add(begins[last])
+        return live.pop()
+
+    while True:
+        while more and len(ahead) - at < longest:
+            part = next(parts, None)
+            more = part is not None
+            ahead += part or ""
+        size = len(ahead)
+        new = size + 1 - len(sums)
+        sums += [NEVER] * new
+        begins += [0] * new
+        ids += [None] * new
+        until = size - longest + 1 if more else size
+        while at < until:
+            here, node, end = sums[at], trie, at
+            for c in ahead[at : at + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                hit = node.get(None)
+                if hit is not None and here + hit[0] > sums[end]:
+                    sums[end], begins[end], ids[end] = here + hit[0], at, hit[1]
+            if ahead[at] not in singles and here + penalty > sums[at + 1]:
+                sums[at + 1], begins[at + 1], ids[at + 1] = here + penalty, at, None
+            at += 1
+            done += 1
+            if done % EVERY == 0 and (meet := meeting()):
                 yield spelled(meet)
-                kept = paths[meet][0]
-                paths = {p: (s - kept, b, i) for p, (s, b, i) in paths.items() if p >= meet}
-                chars, first = chars[meet - first :], meet
-    if at > first:
-        yield spelled(at)
+                kept = sums[meet]
+                sums = [s - kept for s in sums[meet:]]
+                begins = [max(b - meet, 0) for b in begins[meet:]]
+                ids, ahead = ids[meet:], ahead[meet:]
+                at, size, until = at - meet, size - meet, until - meet
+        if not more:
+            if size:
+                yield spelled(size)
+            return
 
 
 RUNS = re.compile(f"{BLANK}+[^{BLANK}]*|^[^{BLANK}]+")
@@ -139,18 +164,20 @@ def encode(vocabulary: Vocabulary, text: str | None) -> array:
         for ids in viterbi(vocabulary, text):
             out.extend(ids)
         return out
-    known = vocabulary.known
-    for word in RUNS.findall(text):
-        ids = known.get(word)
+    known, words = vocabulary.known, RUNS.findall(text)
+    found = [known.get(word) for word in words]
+    for k, ids in enumerate(found):
         if ids is None:
-            ids = array("i")
-            for more in viterbi(vocabulary, word):
-                ids.extend(more)
-            if len(word) <= LONGEST:
-                if len(known) >= WORDS:
-                    known.clear()
-                known[word] = ids
-        out += ids
+            word = words[k]
+            ids = known.get(word)
+            if ids is None:
+                ids = b"".join(array("i", more).tobytes() for more in viterbi(vocabulary, (word,)))
+                if len(word) <= LONGEST:
+                    if len(known) >= WORDS:
+                        known.clear()
+                    known[word] = ids
+            found[k] = ids
+    out.frombytes(b"".join(found))
     return out
 
 
@@ -169,7 +196,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", to: str = "ids") ->
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model)
         for texts in batches:
             yield pd.Series([encode(vocabulary, t) for t in texts])
 
@@ -181,7 +208,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", to: str = "text") ->
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model)
         for many in batches:
             yield pd.Series([None if x is None else decode(vocabulary, [int(i) for i in x]) for x in many])
 
@@ -196,7 +223,7 @@ def checked(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("n_ids long, ids_crc32 long, round_trip boolean")
     def facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model)
         for texts in batches:
             out = []
             for t in texts:
