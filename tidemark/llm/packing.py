@@ -35,7 +35,7 @@ FULL = 0.995  # bins filled to this share are final; pieces of others go to the
 WORDS = 900_000  # different words whose ids a worker remembers
 TOGETHER = 2_000_000  # characters whose new words are encoded together
 MARK = "\0"
-ENDS = b".,"  # after a letter a-z and before a blank these are tokens of their own
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # a run of these between letters and a blank is cut off by itself
 TOGETHER_WORDS = 5000
 
 
@@ -53,7 +53,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.known = Tokenizer.from_file(tokenizer), {}
         self.mark = self.ids(MARK)
-        self.ends = {bytes((c,)): self.ids(chr(c)).tobytes() for c in ENDS}
         vocabulary = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
@@ -90,8 +89,13 @@ class Encoder:
             self.known[w] = data[i:j]
 
     def stem(self, word: bytes) -> bytes:
-        """``word`` without a last mark that is a token of its own."""
-        return word[:-1] if word[-1] in ENDS and word[-2:-1].isalpha() and b"<|" not in word else word
+        """``word`` without the run of marks that follows its letters, or the word itself. Lower case turns a letter into
+        letters, but for the dotted capital I, whose dot would belong to the marks."""
+        stem = word.rstrip(MARKS)
+        if len(stem) == len(word):
+            return word
+        letters = stem.decode()
+        return stem if letters.isalpha() and "\u0130" not in letters else word
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split, seen = [], set()
@@ -104,11 +108,12 @@ class Encoder:
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
             new = seen
-        stems = {w: self.stem(w) for w in new}
-        self.learn(set(stems.values()).difference(self.known))
-        for w, stem in stems.items():
-            if stem is not w:
-                self.known[w] = self.known[stem] + self.ends[w[-1:]]
+        cut = {w: stem for w in new if (stem := self.stem(w)) is not w}
+        learn = new.difference(cut)
+        learn.update(cut.values(), {w[len(stem) :] for w, stem in cut.items()})
+        self.learn(learn.difference(self.known))
+        for w, stem in cut.items():
+            self.known[w] = self.known[stem] + self.known[w[len(stem) :]]
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
