@@ -103,3 +103,14 @@ def test_a_perfect_packing_is_found():
 def test_empty_table(spark):
     none = packing.pieces(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert packing.packed(materialize(none)).collect() == []
+
+
+def test_words_with_marks_have_the_tokenizers_ids():
+    encode = packing.Encoder(PATH)
+    words = ["İ", "İ.", "İ!!", "dİ.", "a.", "a,", "a$$$", "É!!", "é.", "a'.", "a.'s", "ab<|", "x_", "x_.y", "A<|endoftext", "<|endoftext|>", "<|endoftext|>."]
+    words += ["e\u0301.", "\u1100\u1161.", "q\u0307.", "don't.", "x..", "\0", "\0.", "ß", "ΑΣ.", "漢字.", "ﬁ.", "1.", "i.e.", "Ⅳ", "ª.", "ʰ"]
+    rng = random.Random(3)
+    for _ in range(1000):
+        text = rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randint(1, 7)))
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert encode([None, ""]) == [b"", b""]
