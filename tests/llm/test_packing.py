@@ -114,3 +114,10 @@ def test_words_with_marks_have_the_tokenizers_ids():
         text = rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randint(1, 7)))
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
     assert encode([None, ""]) == [b"", b""]
+
+
+def test_columns_named_like_the_new_ones_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7), (2, None, "y", None)], "doc_id long, text string, length string, Piece int")
+    got = packing.pieces(docs, PATH)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted((r.doc_id, r.piece, r.length) for r in got.collect()) == [(1, 0, len(ids_of("a b"))), (2, 0, 1)]

@@ -85,3 +85,10 @@ def test_frames(spark):
     facts = pieces.checked(df.drop("n_ids"), PATH).collect()
     assert all(r.round_trip == ("▁" not in (r.text or "")) and r.n_ids == len(b.ids) for r, b in zip(sorted(facts, key=lambda r: r.doc_id), sorted(back, key=lambda r: r.doc_id)))
     assert pieces.checked(df.drop("n_ids").limit(0), PATH).collect() == []
+
+
+def test_columns_named_like_the_new_ones_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, n_ids string")
+    got = pieces.checked(df, PATH)
+    assert got.columns == ["doc_id", "text", "n_ids", "ids_crc32", "round_trip"]
+    assert {r.doc_id: r.n_ids for r in got.collect()} == {r.doc_id: r.n_ids for r in pieces.checked(df.drop("n_ids"), PATH).collect()}

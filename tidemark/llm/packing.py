@@ -146,9 +146,11 @@ def gathered(texts) -> Iterator[tuple[int, list]]:
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """One row per piece: the columns of ``docs`` without the text, then piece, start, length and ids_crc32.
 
-    A document is its ids and then ``end``; null and empty texts are ``end`` alone.
+    A document is its ids and then ``end``; null and empty texts are ``end`` alone. Columns of ``docs`` with the names of
+    the new ones are replaced.
     """
-    keep = [f for f in docs.schema.fields if f.name != text]
+    made_here = {field.split()[0] for field in PIECES.split(", ")}
+    keep = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in made_here]
     names = [f.name for f in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), PIECES])
 

@@ -218,7 +218,8 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", to: str = "text") ->
 def checked(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with n_ids, ids_crc32 (of little-endian 32-bit ids) and round_trip: whether decoding gives the text back.
 
-    Null texts count as empty. A text that holds U+2581 itself comes back with a blank in its place.
+    Null texts count as empty. A text that holds U+2581 itself comes back with a blank in its place. Columns of ``docs`` with
+    these names are replaced; ``_f`` is reserved.
     """
 
     @F.pandas_udf("n_ids long, ids_crc32 long, round_trip boolean")
@@ -231,4 +232,4 @@ def checked(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 out.append((len(ids), zlib.crc32(ids.tobytes()), decode(vocabulary, ids) == (t or "")))
             yield pd.DataFrame(out, columns=["n_ids", "ids_crc32", "round_trip"])
 
-    return docs.withColumn("_f", facts(F.col(text))).select("*", "_f.*").drop("_f")
+    return docs.withColumn("_f", facts(F.col(text))).drop("n_ids", "ids_crc32", "round_trip").select("*", "_f.*").drop("_f")
