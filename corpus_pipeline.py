@@ -28,7 +28,7 @@ def lines(spark, docs, sf_dir):
 
 def copies(spark, docs, sf_dir):
     """One document of each near-duplicate group stays, the one with the smallest id; near are five-word shingle sets
-    of Jaccard similarity 0.8 or more."""
+    of Jaccard similarity 0.8 or more. SimHash by deletion variants links first, and the sets verify its links and complete them."""
     return near.keep_first(docs)
 
 

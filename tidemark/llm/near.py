@@ -1,9 +1,10 @@
-"""Near copies by the similarity of their shingle sets, with none left out.
+"""Near copies by SimHash and by the similarity of their shingle sets, with none left out.
 
 Two texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent``
-hundredths; a group is whatever links reach. Fingerprints of 64 bits cannot find these pairs: at similarity 0.8
-they differ by about ten bits, and segments short enough for that put nearly every pair into one bucket. So the
-candidates come from the sets: with all shingles in one order, two sets that similar share one among the first
+hundredths; a group is whatever links reach. SimHash comes first: fingerprints of the same shingles within three bits meet by
+deletion variants (``simhash.near_links``), and the sets decide. Fingerprints of 64 bits cannot find all pairs: at similarity 0.8
+they differ by about ten bits, and segments short enough for that put nearly every pair into one bucket. So what SimHash has not
+joined is completed from the sets: with all shingles in one order, two sets that similar share one among the first
 ``n - ceil(percent n / 100) + 1`` of each, and at the first one shared enough must be left on both sides.
 
 * Any order is right. Shingles often seen in a sample of the texts come last, the others by their hash.
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.simhash import fingerprints, near_links
 from tidemark.session import materialize
 
 WIDTH = 5
@@ -182,9 +184,28 @@ def _alike(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return materialize(both.filter(f"joint * {100 + percent} >= {percent} * all").select("a", "b"), "alike")
 
 
+def fingerprint_pairs(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(a, b): each node with the first one of its fingerprint, and first ones of fingerprints within three bits, enough to span what these reach."""
+    prints = materialize(fingerprints(texts, "text", width).select("node", "fp").distinct(), "prints")
+    firsts = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    same = prints.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    end = lambda fp, name: firsts.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    near = near_links(firsts.select("fp")).toDF("x", "y").join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")
+    pairs = same.unionByName(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(pairs.distinct(), "fingerprint-pairs")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose nodes have different roots."""
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def groups(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(node, root) for every node of ``texts`` (node, text) that is not the smallest of its group; node 0 has no words."""
     texts = texts.filter("node <> 0")
+    known = _alike(texts, fingerprint_pairs(texts, width), width, percent)
     prefixes = texts.mapInPandas(_prefixes(width, percent, *_order(texts, width)), "h long, node long, n int, pos int")
     shared = materialize(
         prefixes.repartition("h").sortWithinPartitions("h", "node").mapInPandas(
@@ -193,8 +214,9 @@ def groups(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT, block:
         "shared",
     )
     apart = f"least(n - pos, lead_n - lead_pos) * {100 + percent} >= {percent} * (cast(n as bigint) + lead_n)"
-    led = materialize(shared.filter(f"place > 0 and {apart}").selectExpr("least(node, lead) as a", "greatest(node, lead) as b").distinct(), "led")
-    links = _alike(texts, led, width, percent)
+    led = shared.filter(f"place > 0 and {apart}").selectExpr("least(node, lead) as a", "greatest(node, lead) as b").distinct()
+    led = materialize(_apart(led, components(known)), "led")
+    links = materialize(known.unionByName(_alike(texts, led, width, percent)), "near")
     roots = components(links)
     placed = materialize(
         shared.select("h", "node", "n", "pos", (F.col("place") / block).cast("long").alias("block"))
