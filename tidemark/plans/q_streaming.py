@@ -130,8 +130,9 @@ def stream_clock(spark, sf):
 
     path, a = scratch(spark, "arrivals"), arrived(spark, sf)
     a.write.parquet(path)
-    late = L.run(L.clock_guard(L.read_folder(spark, path, a.schema)), "clock")
-    return late.groupBy("symbol").agg(F.count(F.lit(1)).alias("reversed"))
+    guard = L.ClockGuard(spark, scratch(spark, "clock"))
+    guard.run(L.read_folder(spark, path, a.schema))
+    return guard.found().groupBy("symbol").agg(F.count(F.lit(1)).alias("reversed"))
 
 
 @query("stream_detect_A", build("SELECT symbol, kind, round(price, 6) AS price, known_at FROM lev_t15m"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidemark.functions.scans import previous_row
 from tidemark.operators.detectors import Trackers
 from tidemark.session import scratch
 
@@ -61,6 +62,13 @@ def closed_bars(trades: DataFrame, step: str, delay: str) -> DataFrame:
     return d.select("symbol", F.unix_millis("w.start").alias("open_time"), F.unix_millis("w.end").alias("end"), "open", "high", "low", "close", "volume", "trade_count")
 
 
+def _batches(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """All batches' rows of a store; a folder that no batch has written yet is an empty table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(f"{path}/{name}") if there else spark.createDataFrame([], schema)
+
+
 class BarStore:
     """Bars of one step in a folder, with the trades that came too late beside them.
 
@@ -80,10 +88,7 @@ class BarStore:
     MARKS = "newest long, batch long"
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        """All batches' rows; a folder that no batch has written yet is an empty table."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        return _batches(self.spark, self.path, name, schema)
 
     def watermark(self, before: int | None = None) -> int | None:
         """Newest time of all batches (before one of them) less the delay; one number."""
@@ -231,8 +236,45 @@ def _clock(key, frames, state):
 
 
 def clock_guard(trades: DataFrame) -> DataFrame:
-    """Trades (symbol, arrival, id) whose id is below that of the trade that arrived before, in this batch or an earlier one."""
-    return trades.groupBy("symbol").applyInPandasWithState(_clock, "symbol string, arrival long, id long", "last long", "append", GroupStateTimeout.NoTimeout)
+    """Trades (symbol, arrival, id) whose id is below that of the trade that arrived before, in this batch or an earlier one.
+
+    A symbol's rows of a micro-batch are one group in one task; ``ClockGuard`` takes batches of any size.
+    """
+    return trades.select("symbol", "arrival", "id").groupBy("symbol").applyInPandasWithState(_clock, "symbol string, arrival long, id long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+class ClockGuard:
+    """The trades of ``clock_guard``, in a folder, with no series in one task.
+
+    Inside a micro-batch the trade before comes from chunks of ``chunk`` arrival numbers; a symbol's first trade is held against the last one
+    of the earlier batches. Each micro-batch writes what it found and its last trades under its own number, so that
+    a batch that runs again replaces itself. Of equal arrivals the smaller id is first.
+    """
+
+    FOUND = "symbol string, arrival long, id long, batch long"
+    LAST = "symbol string, id long, batch long"
+
+    def __init__(self, spark: SparkSession, path: str, chunk: int = 1 << 20):
+        self.spark, self.path, self.chunk = spark, path, chunk
+
+    def take(self, batch: DataFrame, number: int) -> None:
+        """One micro-batch of trades (symbol, arrival, id)."""
+        rows = batch.select("symbol", "arrival", "id")
+        put = lambda d, name: d.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        earlier = _batches(self.spark, self.path, "last", self.LAST).filter(F.col("batch") < number)
+        earlier = earlier.groupBy("symbol").agg(F.max_by("id", "batch").alias("_earlier"))
+        d = previous_row(rows, ["symbol"], ["arrival", "id"], F.floor(F.col("arrival") / F.lit(self.chunk)), ["id"])
+        d = d.join(earlier, "symbol", "left").filter(F.col("id") < F.coalesce("prev.id", "_earlier"))
+        put(d.select("symbol", "arrival", "id"), "found")
+        put(rows.groupBy("symbol").agg(F.max(F.struct("arrival", "id")).alias("_l")).select("symbol", "_l.id"), "last")
+
+    def run(self, trades: DataFrame) -> None:
+        """All that is there of a stream; a later run with the same folder goes on behind it."""
+        q = trades.writeStream.option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).foreachBatch(self.take).start()
+        q.awaitTermination()
+
+    def found(self) -> DataFrame:
+        return _batches(self.spark, self.path, "found", self.FOUND).drop("batch")
 
 
 def _transitions(key, frames, state):
