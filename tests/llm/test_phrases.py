@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 
 from tidemark.llm import phrases
@@ -101,6 +102,30 @@ def test_block_with_five_fingerprints_for_everything(monkeypatch):
     assert got == {(lang, " ".join(ws)): a for (lang, ws), a in counts(rows, 5)[0].items()}
 
 
+def test_only_runs_of_frequent_triples_are_pointed_at():
+    # All pairs are frequent, but of the triples only "a b c" and "b c d".
+    pairs = [(x, y) for x in "abcd" for y in "abcd" if x != y]
+    text = "a b c d\n" * 6 + "".join(f"{x} {y}\n" * 6 for x, y in pairs) + "d c b a d\nc a d b\n"
+    blocks = [phrases.normal(t.encode()) for t in (text, "c b d a c\nx a b c d\n")]
+    rows = pa.RecordBatch.from_pydict({
+        "blk": [0, 1], "lang": ["en", "en"], "body": [zstandard.compress(b.tobytes()) for b in blocks], "own": [len(b) for b in blocks], "n_words": [0, 0]
+    })
+    hashes = pa.Table.from_batches(phrases._hashes(1, 5, 5)([rows]))
+    bits = phrases._frequent(5)(hashes)
+    got = set()
+    for i, block in enumerate(blocks):
+        out = phrases._pointed(1, 5)(pa.table(rows.slice(i, 1).to_pydict()), bits.filter(pa.compute.equal(bits["blk"], i)))
+        for e in phrases.unpack(out["entries"][0].as_py(), phrases.ENTRY):
+            got.add(block[e["at"] : e["at"] + e["size"]].tobytes().decode())
+    assert {g for g in got if len(g.split()) > 2} == {"a b c", "b c d", "a b c d"}
+    assert {g for g in got if len(g.split()) == 2} == {f"{x} {y}" for x, y in pairs}
+    # A hash that is sent takes under two and a half bytes.
+    some = phrases.normal(" ".join(str(i) for i in np.random.default_rng(1).integers(0, 10**6, 60_000)).encode())
+    asked = pa.RecordBatch.from_pydict({"blk": [0], "lang": ["en"], "body": [zstandard.compress(some.tobytes())], "own": [len(some)], "n_words": [0]})
+    sent = pa.Table.from_batches(phrases._hashes(4, 5, 5)([asked]))
+    assert sum(map(len, sent["entries"].to_pylist())) < 2.5 * sum(len(phrases.unpack(x, phrases.COUNT)) for x in sent["entries"].to_pylist())
+
+
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
     assert phrases.collocations(spark.createDataFrame([(None, None)], "lang string, text string")).collect() == []

@@ -3,10 +3,10 @@
 Texts become blocks of bytes in which one blank parts words and one line end parts pieces. A prefix polynomial over the bytes of
 a block (mod 2^64) gives the fingerprint of every run of words by one subtraction and one product with an inverse power, all in numpy.
 
-1. Each block hands out its words and word pairs as 32-bit hashes with counts (up to the least count asked for, which is
+1. Each block hands out its words, pairs and triples as 24-bit hashes with counts (up to the least count asked for, which is
    all that a sum needs). They meet by shuffle in parts whose number follows the text, and every block gets back one bit for
    each hash: frequent or not. A hash that two share can only let too much through.
-2. A longer phrase can be frequent only if all its pairs are. Those that pass go out as fingerprints with their count in the block
+2. A longer phrase can be frequent only if all its triples are. Those that pass go out as fingerprints with their count in the block
    and a pointer to one occurrence. In the block all occurrences of a fingerprint are compared byte by byte, and those that
    differ go out apart, with a fingerprint from another base that comes along: 96 bits tell phrases apart between blocks.
 3. Of those that reach the least count two occurrences from different blocks are read at their pointers and compared;
@@ -34,9 +34,11 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t" + BREAKS, bytes(range(97, 123)) + b" " + b"\n" * len(BREAKS))
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses mod 2^64
 AT = 24  # bits of a place in a block
+HASH = 24  # bits of a hash inside its part, whose text has far fewer words
+JUDGED = 3  # phrases of up to so many words are judged by hash before any pointer is written
 BLOCKS = "blk long, lang string, body binary, own long, n_words long"
 POINTERS = "part long, blk long, entries binary"
-COUNT = np.dtype([("fp", "<u4"), ("n", "<u4")])  # a word or pair of a block
+COUNT = np.dtype([("fp", "<u4"), ("n", "<u4")])  # a word, pair or triple of a block
 ENTRY = np.dtype([("fp", "<u8"), ("other", "<u4"), ("n", "<u4"), ("at", "<u4"), ("size", "<u4")])  # a phrase of a block
 
 
@@ -139,15 +141,16 @@ class Grams:
             cls._powers[base] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
         return cls._powers[base]
 
-    def chains(self, n: int, good: np.ndarray | None = None) -> np.ndarray:
-        """First words of all runs of ``n`` words in a piece; with ``good``, all of whose pairs are good."""
+    def chains(self, n: int, good: np.ndarray | None = None, m: int = 1) -> np.ndarray:
+        """First words of all runs of ``n`` words in a piece; with ``good``, all of whose runs of ``m`` words are good."""
         w = len(self.start)
         if n > w:
             return np.zeros(0, np.int64)
         ok = np.ones(w - n + 1, bool)
         for k in range(n - 1):
             ok &= self.joined[k : w - n + 1 + k]
-            if good is not None:
+        if good is not None:
+            for k in range(n - m + 1):
                 ok &= good[k : w - n + 1 + k]
         return np.flatnonzero(ok)
 
@@ -162,13 +165,13 @@ class Grams:
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return x
 
-    def keys(self, parts: int):
-        """(part and hash in one number, in order; for each word, then each pair: its place among them; own or not; pairs' first words)."""
-        pairs = self.chains(2)
-        x = np.concatenate([self.fingerprints(np.arange(len(self.start)), 1), self.fingerprints(pairs, 2)])
-        x = ((x >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF))
+    def keys(self, parts: int, judged: int = JUDGED):
+        """(part and hash in one number, in order; for each run of 1, 2 ... ``judged`` words: its place among them; own or not; first words by length)."""
+        runs = [self.chains(n) for n in range(1, judged + 1)]
+        x = np.concatenate([self.fingerprints(first, n) for n, first in enumerate(runs, 1)])
+        x = ((x >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (x & np.uint64((1 << HASH) - 1))
         found, place = np.unique(x, return_inverse=True)
-        return found, place, np.concatenate([self.own, self.own[pairs]]), pairs
+        return found, place, self.own[np.concatenate(runs)], runs
 
     def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Do the bytes from a and from b agree over ``size`` bytes? Eight at a time."""
@@ -204,11 +207,11 @@ def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _hashes(parts: int, least: int):
+def _hashes(parts: int, least: int, longest: int):
     def count(batches):
         for batch in batches:
             for blk, lang, body, own, _ in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                found, place, mine, _ = Grams(body, own, lang).keys(parts)
+                found, place, mine, _ = Grams(body, own, lang).keys(parts, min(longest, JUDGED))
                 n = np.minimum(np.bincount(place[mine], minlength=len(found)), least).astype(np.uint32)
                 part = (found >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(part)) + 1
@@ -227,8 +230,7 @@ def _frequent(least: int):
     def judge(t: pa.Table) -> pa.Table:
         rows = [unpack(x.as_py(), COUNT) for x in t["entries"]]
         every = np.concatenate(rows)
-        _, place = np.unique(every["fp"], return_inverse=True)
-        often = np.bincount(place, weights=every["n"])[place] >= least
+        often = (np.bincount(every["fp"], weights=every["n"], minlength=1) >= least)[every["fp"]]
         edges = np.cumsum([len(r) for r in rows])[:-1]
         return pa.table({"blk": t["blk"], "part": t["part"], "bits": pa.array([np.packbits(x).tobytes() for x in np.split(often, edges)], pa.binary())})
 
@@ -239,16 +241,21 @@ def _pointed(parts: int, longest: int):
     def point(left: pa.Table, right: pa.Table) -> pa.Table:
         blk, lang, body, own = (left[c][0].as_py() for c in ("blk", "lang", "body", "own"))
         g = Grams(body, own, lang)
-        found, place, _, pairs = g.keys(parts)
+        found, place, _, runs = g.keys(parts, min(longest, JUDGED))
         right = right.sort_by("part")
         sizes = np.unique(found >> np.uint64(32), return_counts=True)[1]
         often = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(right["bits"], sizes.tolist())]).astype(bool)[place]
-        words = len(g.start)
-        good = np.zeros(words, bool)
-        good[pairs] = often[words:]
+        goods = []  # by length: is the run that begins with this word good?
+        for first, bits in zip(runs, np.split(often, np.cumsum([len(x) for x in runs])[:-1])):
+            good = np.zeros(len(g.start), bool)
+            good[first] = bits
+            if goods:
+                good[:-1] &= goods[-1][:-1] & goods[-1][1:]
+            goods.append(good)
         out = []
         for n in range(1, longest + 1):
-            first = np.flatnonzero(often[:words]) if n == 1 else g.chains(n, good)
+            m = min(n, len(goods))
+            first = g.chains(n, goods[m - 1], m)
             first = first[g.own[first]]
             fp = g.fingerprints(first, n)
             s, size = g.start[first], g.end[first + n - 1] - g.start[first]
@@ -322,7 +329,7 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "l
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     words = blocks.agg(F.sum("n_words")).first()[0] or 0  # one number
     parts = 1 + words * 6 // PART
-    hashes = blocks.mapInArrow(_hashes(parts, least), POINTERS)
+    hashes = blocks.mapInArrow(_hashes(parts, least, longest), POINTERS)
     bits = hashes.groupBy("part").applyInArrow(_frequent(least), "blk long, part long, bits binary")
     pointers = blocks.groupBy("blk").cogroup(bits.groupBy("blk")).applyInArrow(_pointed(parts, longest), POINTERS)
     often = materialize(pointers.groupBy("part").applyInArrow(_often(least), "fp long, other long, f long, one long, two long, size int"), "often")
