@@ -138,3 +138,16 @@ def test_packed_entries_come_back():
             e = np.frombuffer(rng.bytes(n * kind.itemsize), kind).copy()
             e.sort(order="fp")
             assert (phrases.unpack(phrases.pack(e), kind) == e).all()
+
+
+def test_folded_fingerprints_come_back_in_order():
+    fp = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 5000, np.uint64, endpoint=False))
+    fp[:2] = 0, 1
+    fp[-1] = 0xFFFFFFFFFFFFFFFF
+    for parts in (1, 2, 31, 1800):
+        part = (fp >> np.uint64(32)) % np.uint64(parts)
+        for p in np.unique(part)[:40].tolist():
+            mine = fp[part == p]
+            short = phrases.folded(mine, parts)
+            assert (np.diff(short.astype(object)) >= 0).all() and short.max() <= mine.max()
+            assert (phrases.unfolded(short, p, parts) == mine).all()

@@ -93,7 +93,7 @@ def _blocks(longest: int):
             for body, own, words in cut(a, longest):
                 if words:
                     yield pa.RecordBatch.from_pydict({
-                        "blk": pa.array([(task << 19) + done], pa.int64()), "lang": pa.array([lang]), "body": pa.array([zstandard.compress(body.tobytes(), 3)], pa.binary()),
+                        "blk": pa.array([(task << 19) + done], pa.int64()), "lang": pa.array([lang]), "body": pa.array([zstandard.compress(body.tobytes(), 9)], pa.binary()),
                         "own": pa.array([own], pa.int64()), "n_words": pa.array([words], pa.int64()),
                     })
                     done += 1
@@ -207,6 +207,15 @@ def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def folded(fp: np.ndarray, parts: int) -> np.ndarray:
+    """Fingerprints of one part without what the part says of them (the remainder of their upper half), in the same order."""
+    return (fp >> np.uint64(32)) // np.uint64(parts) << np.uint64(32) | fp & np.uint64(0xFFFFFFFF)
+
+
+def unfolded(fp: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return (fp >> np.uint64(32)) * np.uint64(parts) + np.uint64(part) << np.uint64(32) | fp & np.uint64(0xFFFFFFFF)
+
+
 def _hashes(parts: int, least: int, longest: int):
     def count(batches):
         for batch in batches:
@@ -276,6 +285,7 @@ def _pointed(parts: int, longest: int):
         entries = np.concatenate(out)
         part = (entries["fp"] >> np.uint64(32)) % np.uint64(parts)
         order = np.lexsort((entries["fp"], part))
+        entries["fp"] = folded(entries["fp"], parts)
         found, starts = np.unique(part[order], return_index=True)
         rows = [pack(entries[x]) for x in np.split(order, starts[1:])] if len(found) else []
         return pa.table({"part": found.astype(np.int64), "blk": np.full(len(found), blk, np.int64), "entries": pa.array(rows, pa.binary())})
@@ -283,11 +293,12 @@ def _pointed(parts: int, longest: int):
     return point
 
 
-def _often(least: int):
+def _often(least: int, parts: int = 1):
     def judge(t: pa.Table) -> pa.Table:
         """Phrases of one part that reach the least count, with two occurrences from anywhere (by hash, so that no block is asked for all)."""
         rows = [unpack(x.as_py(), ENTRY) for x in t["entries"]]
         e = np.concatenate(rows)
+        e["fp"] = unfolded(e["fp"], t["part"][0].as_py(), parts)
         pointer = (np.repeat(t["blk"].to_numpy(), [len(r) for r in rows]) << AT) + e["at"]
         anywhere = (pointer.astype(np.uint64) ^ e["fp"]) * np.uint64(BASES[0]) >> np.uint64(20)
         order = np.lexsort((anywhere, e["other"], e["fp"]))
@@ -332,7 +343,7 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "l
     hashes = blocks.mapInArrow(_hashes(parts, least, longest), POINTERS)
     bits = hashes.groupBy("part").applyInArrow(_frequent(least), "blk long, part long, bits binary")
     pointers = blocks.groupBy("blk").cogroup(bits.groupBy("blk")).applyInArrow(_pointed(parts, longest), POINTERS)
-    often = materialize(pointers.groupBy("part").applyInArrow(_often(least), "fp long, other long, f long, one long, two long, size int"), "often")
+    often = materialize(pointers.groupBy("part").applyInArrow(_often(least, parts), "fp long, other long, f long, one long, two long, size int"), "often")
     ends = often.select("fp", "other", "f", "size", F.explode(F.array_distinct(F.array("one", "two"))).alias("p"))
     ends = ends.select("fp", "other", "f", "size", F.shiftright("p", AT).alias("blk"), F.col("p").bitwiseAND((1 << AT) - 1).cast("int").alias("at"))
     read = blocks.groupBy("blk").cogroup(ends.groupBy("blk")).applyInArrow(_read, "lang string, phrase string, fp long, other long, f long")
