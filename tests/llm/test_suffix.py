@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import suffix
+from tidemark.llm import queries, suffix
 
 
 def removed(texts, size):
@@ -120,3 +120,20 @@ def test_long_texts_lose_nothing_at_slice_borders(spark, monkeypatch, step):
 
 def test_empty_table(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_planted_passages_are_read_from_the_text_that_is_left(spark, tmp_path):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(n))
+    rows = []  # (text, what is left)
+    for n in (39, 51, 60, 90):  # 389, 509, 599 and 899 bytes; the contract cuts from 400 bytes on
+        passage = "|" + words(n) + "|"
+        for k in "01":  # neighbours that differ
+            before, after = words(rng.randint(0, 60)) + k, k + words(30)
+            rows.append((before + passage + after, before + passage * (n == 39) + after))
+    rows += [(text, text) for text in (words(rng.randint(0, 120)) for _ in range(12))]
+    spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op7_suffix_array"](spark, str(tmp_path)).collect()}
+    for i, (text, left) in enumerate(rows):
+        assert got[i].text == left and got[i].n_bytes == len(text) and got[i].n_removed == len(text) - len(left)
+        assert got[i].kept_sha256 == hashlib.sha256(left.encode()).hexdigest()
