@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import TFS
 from tidemark.operators import cohorts as H
+from tidemark.plans import q_cohorts as Q
 
 SUBS = [tuple(TFS[i] for i in s) for s in H.SUBSETS]
 FIELDS = ["joint_quantity", *H.DELTAS, *[f"{tf}__imbalance" for tf in TFS]]
@@ -126,3 +127,34 @@ def test_bars_of_all_timeframes_from_one_reading(spark, monkeypatch):
         assert sorted(got[tf].columns) == sorted(b.columns)
         rows = lambda d: sorted(map(tuple, d.select(*names).collect()))
         assert rows(got[tf]) == rows(b) and got[tf].count() > 20
+
+
+def test_intervals_unfold_compared_cohorts_only_and_are_drawn_once(spark, monkeypatch):
+    """Both interval queries read one table; its cohorts are those of the comparisons, with the sums that all cohorts have."""
+    grid = {"direction": "LONG", "tp": 1.0, "sl": 1.0, "horizon": 4}
+    code = {"facet": "imbalance", "k": None, "m": None, "v": None, "t": None, "quarter": "H1"}
+    rows, moves = [], []
+    for i in range(240):
+        p = ("SSSS", "RRRR", "SRNM")[i % 3]
+        rows.append(code | {"event_id": str(i), "code": p, "p": p, "block": i // 30})
+        moves.append(grid | {"event_id": str(i), "label": ("TP_FIRST", "SL_FIRST")[i % 5 == 0], "censored": i % 11 == 0, "mfe_pct": i / 100, "mae_pct": -i / 90})
+    kind = "event_id string, code string, facet string, p string, k long, m string, v array<long>, t array<long>, block long, quarter string"
+    codes = spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in rows], kind)
+    o = spark.createDataFrame([tuple(m[c] for c in ("event_id", *Q.GRID, "label", "censored", "mfe_pct", "mae_pct")) for m in moves], "event_id string, direction string, tp double, sl double, horizon int, label string, censored boolean, mfe_pct double, mae_pct double")
+    monkeypatch.setattr(Q, "_WRITTEN", {})
+    monkeypatch.setattr(Q, "codes", lambda *_: (codes, TOPS))
+    monkeypatch.setattr(Q, "outcomes15", lambda *_: o)
+    paired, seen = Q.R.paired, []
+    monkeypatch.setattr(Q.R, "paired", lambda sums, *a: seen.append(sums) or paired(sums, *a))
+    got = Q.contrast_intervals(spark, "x").collect()
+    assert Q.cohort_intervals(spark, "x").count() == len(got) and len(seen) == 1 and Q.evidence_intervals(spark, "x").count() > 0 and len(seen) == 1  # drawn once for both
+    compared = {x for c in H.comparisons(TOPS) for x in c[1:3]}
+    used = {r.category for r in seen[0].collect()}
+    every = Q.sums(spark, "x")[0]
+    assert used == compared & {r.category for r in every.collect()} and "A1/pattern/SSSS" not in used and "conflict/SS/SS" not in used
+    whole = every.groupBy("category", *Q.GRID, "block").agg(*[F.sum(c).cast("double").alias(c) for c in ("complete", *H.METRICS)])
+    pairs = spark.createDataFrame(H.comparisons(TOPS), "comparison string, a string, b string, family string")
+    want = paired(whole, "category", Q.GRID, pairs, "block", ["complete", *H.METRICS], H.METRICS).collect()
+    close = lambda rows: sorted((r.comparison, r.metric, *[None if x is None else round(x, 9) + 0.0 for x in (r.estimate, r.ci_low, r.ci_high)], r.finite_draws) for r in rows)
+    assert len(got) == len(want) > 0 and any(r.ci_low is not None for r in got)
+    assert {repr(x) for x in close(got)} ^ {repr(x) for x in close(want)} == set()
