@@ -84,6 +84,12 @@ def masked(own: Column):
     return lambda x: F.when(x["_digit"] == own, F.lit(OWN)).otherwise(x["_node"])
 
 
+def _power(n: Column, rounds: int, fanout: int) -> Column:
+    """The least power of ``fanout`` that ``n`` does not exceed, one branch a round: nested in each other, branches would treble each round."""
+    out = F.lit(fanout**rounds).cast("long")
+    return F.coalesce(*(F.when(n <= fanout**r, F.lit(fanout**r).cast("long")) for r in range(rounds)), out)
+
+
 def _exchanged(blocks: DataFrame, fanout: int) -> DataFrame:
     """(_g, _block, _node, _upper): every block with its group's root and the steps from its own node to that."""
     n = F.col("_blocks")
@@ -92,10 +98,7 @@ def _exchanged(blocks: DataFrame, fanout: int) -> DataFrame:
     while fanout**rounds < last:
         rounds += 1
     # Block b also stands for b + n, b + 2 n, ... below the power of fanout that n does not exceed.
-    power = F.lit(1).cast("long")
-    for _ in range(rounds):
-        power = F.when(power < n, power * fanout).otherwise(power)
-    state = blocks.withColumn("_power", power).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1)))).withColumn("_to", F.col("_block") + F.col("_i") * n)
+    state = blocks.withColumn("_power", _power(n, rounds, fanout)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1)))).withColumn("_to", F.col("_block") + F.col("_i") * n)
     state = state.filter("_to < _power").select(
         "_g", F.col("_to").alias("_block"), "_blocks", F.when(F.col("_i") == 0, F.col("_node")).alias("_node"), F.array().cast("array<string>").alias("_upper")
     )
