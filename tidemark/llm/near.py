@@ -11,6 +11,8 @@ joined is completed from the sets: with all shingles in one order, two sets that
 * Equal texts are one node, and so are all texts without words.
 * First each member of a bucket is compared with the bucket's first one, and the components are formed. Only
   pairs of different components are compared afterwards, so a large group of near copies is not squared.
+* Most candidates are far apart. Parities of the shingles by their lowest bits, about a bit and a half for a shingle, bound from below how many
+  shingles two sets do not share; whole sets go out only for pairs that this bound leaves.
 * What decides is always the number of shingles shared, from whole texts. Shingles are told apart by 64-bit hashes.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.simhash import fingerprints, near_links
-from tidemark.session import materialize
+from tidemark.session import materialize, shuffles_dropped
 
 WIDTH = 5
 PERCENT = 80
@@ -174,8 +176,48 @@ def _crossing(percent: int):
     return run
 
 
-def _alike(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the ``pairs`` that are as similar as asked."""
+def parities(h: np.ndarray) -> bytes:
+    """For each of 2^k bits, at least as many as there are shingles, whether an odd number of them have it as their lowest k bits."""
+    width = max(64, 1 << (max(len(h), 1) - 1).bit_length())
+    return np.packbits(np.bincount(h & (width - 1), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _apart_at_least(x: bytes, y: bytes) -> int:
+    """Shingles that only one of two sets has, at the least: those of both cancel out, each other one turns one bit."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def marks(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, bits): number and parities of the shingles of each node."""
+
+    @F.pandas_udf("n long, bits binary")
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, width) for t in texts]
+        return pd.DataFrame({"n": [len(h) for h in sets], "bits": [parities(h) for h in sets]})
+
+    found = texts.select("node", marked("text").alias("m"))
+    return materialize(found.select("node", "m.n", "m.bits").dropDuplicates(["node"]), "marks")
+
+
+def _possible(percent: int):
+    @F.pandas_udf("boolean")
+    def possible(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        whole, least = (n + m).to_numpy(), np.minimum(n, m).to_numpy()
+        out = least * (100 + percent) >= percent * whole
+        for i in np.flatnonzero(out):
+            out[i] = (whole[i] - _apart_at_least(x.iat[i], y.iat[i])) * (100 + percent) >= 2 * percent * whole[i]
+        return pd.Series(out)
+
+    return possible
+
+
+def _alike(texts: DataFrame, known: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the ``pairs`` that are as similar as asked. The marks (``known``) leave out those that cannot be, and the whole sets of the rest decide."""
+    both = pairs.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b")
+    pairs = materialize(both.filter(_possible(percent)("n", "m", "x", "y")).select("a", "b"), "possible")
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
     sets = materialize(texts.join(needed, "node").dropDuplicates(["node"]).select("node", _sets(width)("text").alias("s")), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -205,7 +247,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def groups(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(node, root) for every node of ``texts`` (node, text) that is not the smallest of its group; node 0 has no words."""
     texts = texts.filter("node <> 0")
-    known = _alike(texts, fingerprint_pairs(texts, width), width, percent)
+    marked = marks(texts, width)
+    known = _alike(texts, marked, fingerprint_pairs(texts, width), width, percent)
     prefixes = texts.mapInPandas(_prefixes(width, percent, *_order(texts, width)), "h long, node long, n int, pos int")
     shared = materialize(
         prefixes.repartition("h").sortWithinPartitions("h", "node").mapInPandas(
@@ -216,7 +259,7 @@ def groups(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT, block:
     apart = f"least(n - pos, lead_n - lead_pos) * {100 + percent} >= {percent} * (cast(n as bigint) + lead_n)"
     led = shared.filter(f"place > 0 and {apart}").selectExpr("least(node, lead) as a", "greatest(node, lead) as b").distinct()
     led = materialize(_apart(led, components(known)), "led")
-    links = materialize(known.unionByName(_alike(texts, led, width, percent)), "near")
+    links = materialize(known.unionByName(_alike(texts, marked, led, width, percent)), "near")
     roots = components(links)
     placed = materialize(
         shared.select("h", "node", "n", "pos", (F.col("place") / block).cast("long").alias("block"))
@@ -237,7 +280,7 @@ def groups(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT, block:
         .distinct()
         .join(led, ["a", "b"], "left_anti")
     )
-    return components(links.unionByName(_alike(texts, materialize(crossing, "crossing"), width, percent)))
+    return components(links.unionByName(_alike(texts, marked, materialize(crossing, "crossing"), width, percent)))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -247,15 +290,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     """
     worded = F.col(text).rlike(r"[^ \t-\r]")
     rows = docs.withColumns({"_node": F.when(worded, F.xxhash64(text)).otherwise(F.lit(0)), "_row": F.xxhash64(*docs.columns)})
-    roots = groups(rows.select(F.col("_node").alias("node"), F.col(text).alias("text")), width, percent, block)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_node", "_row")
-    small = materialize(rows.groupBy("_node", "_row", id_col).count(), "rows")
-    best = (
-        small.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
-        .groupBy(F.coalesce("root", "_node").alias("root"))
-        .agg(F.min(F.struct(order.alias("order"), "count")).alias("best"))
-    )
-    best = materialize(best.select(F.col("best.order._row").alias("_row"), (F.col("best.count") > 1).alias("_many")), "best")
+    with shuffles_dropped(docs.sparkSession):
+        roots = groups(rows.select(F.col("_node").alias("node"), F.col(text).alias("text")), width, percent, block)
+        small = materialize(rows.groupBy("_node", "_row", id_col).count(), "rows")
+        best = (
+            small.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+            .groupBy(F.coalesce("root", "_node").alias("root"))
+            .agg(F.min(F.struct(order.alias("order"), "count")).alias("best"))
+        )
+        best = materialize(best.select(F.col("best.order._row").alias("_row"), (F.col("best.count") > 1).alias("_many")), "best")
     kept = rows.join(best, "_row")
     once, many = kept.filter("not _many"), kept.filter("_many").dropDuplicates(["_row"])
     return once.unionByName(many).select(*docs.columns)
